@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from foliolake.plans import pipeline_queries
+from foliolake.plans import pipeline_queries, record_queries
 
-MODULES = (pipeline_queries,)
-FLAGSHIP = "p5_summary"
+MODULES = (record_queries, pipeline_queries)
+FLAGSHIP = "by_profile"
 
 
 def queries() -> dict:
