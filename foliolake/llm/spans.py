@@ -6,8 +6,8 @@ hash among the k-grams inside). So:
 
 1. each text is scanned once; neighbouring windows with one minimiser form a
    stretch, described by (minimiser, digest of the stretch, position);
-2. a minimiser seen in one text only rules its stretches out; a stretch whose
-   digest occurs in two texts is shared as a whole;
+2. a minimiser seen in one text only rules its stretches out; of the others, a
+   stretch whose digest occurs in two texts is shared as a whole;
 3. what remains are stretches at the rims of shared passages: only for these,
    and for one representative of each whole-shared stretch beside them, every
    window's hash is taken and windows found in two texts are shared.
@@ -128,27 +128,32 @@ def _chunks(ids: list, texts: list, least: int) -> Iterator[tuple[list, list]]:
         yield held_i, held_t
 
 
-def scan(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(m, d, doc_id, lo, hi): the stretches of every text; texts under ``length`` have none."""
+def scan(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, brief: bool = False) -> DataFrame:
+    """(m, d, doc_id, lo, hi): the stretches of every text; texts under ``length`` have none.
+
+    The digest d is cut to 32 bits: it only counts together with m. ``brief``
+    leaves just (m, doc_id).
+    """
+    schema = "m long, doc_id long" if brief else "m long, d int, doc_id long, lo int, hi int"
+    wanted = [0, 2] if brief else [0, 1, 2, 3, 4]
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for some_ids, some in _chunks(ids, texts, length):
                 who, lo, hi, low, digest = stretches(some, length, gram)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(low.view(np.int64)),
-                        pa.array(digest.view(np.int64)),
-                        pa.array(np.asarray(some_ids, dtype=np.int64)[who]),
-                        pa.array(lo.astype(np.int32)),
-                        pa.array(hi.astype(np.int32)),
-                    ],
-                    names=["m", "d", "doc_id", "lo", "hi"],
-                )
+                columns = [
+                    low.view(np.int64),
+                    (digest >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                    np.asarray(some_ids, dtype=np.int64)[who],
+                    lo.astype(np.int32),
+                    hi.astype(np.int32),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[i]) for i in wanted], names=names)
 
     slim = documents.select("doc_id", "text").where(F.length("text") >= length)
-    return slim.mapInArrow(run, "m long, d long, doc_id long, lo int, hi int")
+    return slim.mapInArrow(run, schema)
 
 
 def window_hashes(documents: DataFrame, asked: DataFrame, length: int) -> DataFrame:
@@ -189,23 +194,19 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     short texts have no spans; repeats inside one text don't count; equal
     texts under different ids are shared throughout.
     """
-    found = cut(scan(documents, length, gram))
     spread = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most")]
-    by_stretch = found.groupBy("m", "d").agg(*spread)
+    # Texts are scanned twice, so that only the stretches of shared minimisers are ever kept.
+    shared = scan(documents, length, gram, brief=True).groupBy("m").agg(*spread).where("least <> most").select("m")
+    hits = cut(scan(documents, length, gram).join(shared, "m"))
+    by_stretch = hits.groupBy("m", "d").agg(*spread)
     wide = F.col("least") != F.col("most")
-    # Per minimiser: does it lie in two texts, and are there stretches of it that are not shared whole?
-    by_gram = (
-        by_stretch.groupBy("m")
-        .agg(F.min("least").alias("l"), F.max("most").alias("g"), F.min(wide).alias("all_whole"))
-        .where("l <> g")
-    )
-    tagged = by_stretch.join(by_gram.select("m", "all_whole"), "m").select(
-        "m", "d", "all_whole", wide.alias("whole_shared"), "least", "most"
-    )
-    hits = cut(found.join(tagged, ["m", "d"]))
-    whole = hits.where("whole_shared").select("doc_id", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    rims = hits.where("not all_whole and (not whole_shared or doc_id = least or doc_id = most)")
-    hashes = cut(window_hashes(documents, rims.select("doc_id", "lo", "hi"), length))
+    # Per minimiser: are all its stretches shared whole?
+    all_whole = by_stretch.groupBy("m").agg(F.min(wide).alias("all_whole"))
+    tagged = by_stretch.join(all_whole, "m").select("m", "d", "all_whole", wide.alias("whole_shared"), "least", "most")
+    placed = hits.join(tagged, ["m", "d"])
+    whole = placed.where("whole_shared").select("doc_id", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    rims = placed.where("not all_whole and (not whole_shared or doc_id = least or doc_id = most)")
+    hashes = window_hashes(documents, rims.select("doc_id", "lo", "hi"), length)
     twice = hashes.groupBy("h").agg(*spread).where("least <> most").select("h")
     part = hashes.join(twice, "h").select("doc_id", F.col("start").alias("s"), (F.col("start") + length).alias("e"))
     return merge_intervals(whole.unionByName(part)).select(
