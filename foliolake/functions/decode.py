@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The recogniser's alphabet; class 0 is the blank.
@@ -115,18 +115,23 @@ def beam_decode(log_probs: np.ndarray, beam: int = 4, score: Callable[[str, str]
     return max(beams.items(), key=lambda x: _add(*x[1]))[0]
 
 
-def beam_udf(beam: int = 4, grams: dict[str, float] | None = None, alpha: float = 0.25):
-    """Arrow-batched beam decoding of array<array<double>> log probabilities.
+def beam_rows(df: DataFrame, key: str, scores: str, beam: int = 4, grams: dict[str, float] | None = None, alpha: float = 0.25) -> DataFrame:
+    """(key, decoded): beam search over an array<array<double>> column, in Arrow batches.
 
     ``grams`` maps context + character to a log probability (a small
-    character model, shipped with the function); unknown pairs score -8.
+    character model, shipped with the function); unknown pairs score -8. A
+    null array gives null, an array without steps the empty string.
     """
 
     def lm(prefix: str, ch: str) -> float:
         return grams.get(prefix[-1:] + ch, -8.0)
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else beam_decode(np.stack([np.asarray(x, dtype=float) for x in r]) if len(r) else np.zeros((0, 38)), beam, lm if grams else None, alpha))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            decoded = [
+                None if r is None else beam_decode(np.array([list(x) for x in r], dtype=float), beam, lm if grams else None, alpha) if len(r) else ""
+                for r in pdf[scores]
+            ]
+            yield pd.DataFrame({key: pdf[key], "decoded": decoded})
 
-    return decode
+    return df.select(key, scores).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, decoded string")
