@@ -191,7 +191,7 @@ def is_degenerate(digits: Column) -> Column:
 
 def passes_luhn(digits: Column, least: int = 12) -> Column:
     """Checksum of card numbers of at least ``least`` digits."""
-    return (F.length(digits) >= least) & digits.rlike(r"^\d+$") & F.coalesce(F.luhn_check(digits), F.lit(False))
+    return (F.length(digits) >= least) & digits.rlike(r"^\d+$") & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
 def is_substantial(value: Column) -> Column:

@@ -103,14 +103,15 @@ def neighbours(files: DataFrame) -> DataFrame:
 
 def content_tokens(value: Column) -> Column:
     """Distinct tokens of a JSON value; a number (also one written as text, with
-    unit ms or s) becomes one bucket token."""
+    unit ms or s) becomes one bucket token, a boolean one that only booleans have."""
     plain = F.lower(F.regexp_replace(value, r'^"|"$', ""))
     number = r"^\s*-?[0-9][0-9,]*(\.[0-9]+)?\s*(ms|s)?\s*$"
     unit = F.when(plain.rlike(r"[0-9]\s*s\s*$"), F.lit(1000.0)).otherwise(F.lit(1.0))
     amount = F.expr("0.0D") + F.regexp_replace(plain, r"[^0-9.\-]", "").try_cast("double") * unit
     bucket = F.floor(F.log(F.greatest(F.abs(amount), F.lit(1e-9))) / F.log(F.lit(NUMBER_RATIO)))
     words = F.array_distinct(F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != ""))
-    return F.when(plain.rlike(number) & amount.isNotNull(), F.array(F.concat(F.lit("#"), bucket.cast("string")))).otherwise(words)
+    flag = F.when(value.isin("true", "false"), F.array(F.concat(F.lit("?"), value)))
+    return flag.when(plain.rlike(number) & amount.isNotNull(), F.array(F.concat(F.lit("#"), bucket.cast("string")))).otherwise(words)
 
 
 def _spread(tokens: Column) -> Column:
