@@ -302,25 +302,30 @@ def cast_rule(rule: str, value: Column) -> Column:
 def consistent_records(files: DataFrame, typed: dict[str, DataFrame]) -> DataFrame:
     """All raw records and all typed tables as one table with the TARGET fields.
 
-    Absent fields default to null; names outside TARGET go to ``extras`` as
-    JSON text by canonical name; values that a cast rule cannot read become
+    Absent fields default to null; fields outside TARGET go to ``extras`` as
+    JSON text under their own name; values that a cast rule cannot read become
     null. ``origin`` is the file name or the typed table's name, and
     ``version`` the fingerprint of the raw file's schema.
     """
     records = explode_records(files)
     schemas = file_schemas(records)
     names = canonical_names(schemas, changes(files, records))
-    row = [*FILE, "line_no"]
-    long = records.join(names, [*FILE, "field"])
+    # One small row per file: the file's name of every target field. A field
+    # that stands beside the one renamed to its name gives way to it.
     known = F.col("canonical").isin(list(TARGET))
-    wide = long.groupBy(*row).agg(
-        *[F.max(F.when(F.col("canonical") == n, F.col("value"))).alias(f"v_{n}") for n in TARGET],
-        F.map_from_entries(F.array_sort(F.collect_set(F.when(~known, F.struct("canonical", "value"))))).alias("extras"),
-    )
-    wide = wide.join(fingerprints(schemas).select(*FILE, "version"), FILE)
+    chosen = names.where(known).groupBy(*FILE, "canonical").agg(F.max(F.struct((F.col("field") != F.col("canonical")).alias("r"), "field")).alias("f"))
+    per_file = chosen.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "f.field"))).alias("named"))
+    per_file = fingerprints(schemas).select(*FILE, "version").join(per_file, FILE, "left")
+    lines = files.select(*FILE, "line_no", "received_at", "body")
+    once = lines.groupBy(*FILE, "line_no").agg(F.max_by("body", F.struct("received_at", "body")).alias("body"))
+    parsed = once.select(*FILE, "line_no", F.from_json("body", "map<string,variant>").alias("m")).where("m is not null")
+    wide = parsed.select(*FILE, "line_no", F.transform_values("m", lambda k, v: F.to_json(v)).alias("m")).join(per_file, FILE)
+    value = lambda n: F.try_element_at(F.col("m"), F.try_element_at(F.col("named"), F.lit(n)))
+    taken = F.coalesce(F.map_values("named"), F.array().cast("array<string>"))
     raw = wide.select(
         F.col("file_name").alias("origin"), "version", "arm", "bench", "run_no", "line_no",
-        *[cast_rule(rule, F.col(f"v_{n}")).alias(n) for n, rule in TARGET.items()], "extras",
+        *[cast_rule(rule, value(n)).alias(n) for n, rule in TARGET.items()],
+        F.map_filter("m", lambda k, v: ~F.array_contains(taken, k)).alias("extras"),
     )
     for name, df in typed.items():
         types = dict(df.dtypes)
