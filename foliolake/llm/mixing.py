@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliolake.llm.pages import source_name
 from foliolake.llm.tokens import VOCABULARY, token_count
 from foliolake.operators.prefix import prefix_sums
-from foliolake.session import cut
+from foliolake.session import cut, spread
 
 #: Copies are counted in units of 2**-SCALE_BITS, so prefix sums are exact integers.
 SCALE_BITS = 20
@@ -20,7 +20,7 @@ MAX_TARGETS = 100_000
 
 def sized_texts(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of the non-blank texts; sources in one spelling."""
-    live = documents.where(F.col("text").rlike(r"\S"))
+    live = spread(documents.select("doc_id", "text", "source").where(F.col("text").rlike(r"\S")))
     tokens = token_count(documents.sparkSession, F.col("text"), path)
     return live.select("doc_id", source_name(F.col("source")).alias("source"), tokens.alias("tokens"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliolake.session import cut
+from foliolake.session import cut, spread
 
 LENGTH = 200
 GRAM = 100
@@ -153,7 +153,7 @@ def scan(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, brief: bo
                 yield pa.RecordBatch.from_arrays([pa.array(columns[i]) for i in wanted], names=names)
 
     slim = documents.select("doc_id", "text").where(F.length("text") >= length)
-    return slim.mapInArrow(run, schema)
+    return spread(slim).mapInArrow(run, schema)
 
 
 def window_hashes(documents: DataFrame, asked: DataFrame, length: int) -> DataFrame:
