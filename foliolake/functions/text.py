@@ -45,6 +45,15 @@ HIT_KEYWORDS = {
 }
 
 
+#: Java's word boundary knows all letters; the original patterns meant ASCII ones.
+ASCII_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def ascii_edges(pattern: str) -> str:
+    """The pattern with its word boundaries between ASCII word characters and others."""
+    return pattern.replace(r"\b", ASCII_EDGE)
+
+
 def norm(text: Column) -> Column:
     """Scoring form: lower case, only a-z and 0-9."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
@@ -100,10 +109,10 @@ def repair_units(text: Column) -> Column:
     m9 to mg and m1 to ml come first, so the S rule sees the unit; a unit
     said twice is kept once.
     """
-    out = F.regexp_replace(text, r"(?i)m9\b", "mg")
-    out = F.regexp_replace(out, r"(?i)m1\b", "ml")
-    out = F.regexp_replace(out, r"\bS(?=\d{2,4}(?:m[gq]|m1|1m|mg|ml)?\b)", "5")
-    return F.regexp_replace(out, r"(?i)(\d+)\s*(mg|ml)\s+\2\b", "$1$2")
+    out = F.regexp_replace(text, ascii_edges(r"(?i)m9\b"), "mg")
+    out = F.regexp_replace(out, ascii_edges(r"(?i)m1\b"), "ml")
+    out = F.regexp_replace(out, ascii_edges(r"\bS(?=\d{2,4}(?:m[gq]|m1|1m|mg|ml)?\b)"), "5")
+    return F.regexp_replace(out, ascii_edges(r"(?i)(\d+)\s*(mg|ml)\s+\2\b"), "$1$2")
 
 
 def count_all(text: Column, needles: tuple[str, ...]) -> Column:
@@ -144,7 +153,7 @@ def hit_class(text: Column) -> Column:
 def structure_score(text: Column) -> Column:
     """How many structured tokens a text holds; case references count twice. Null or blank scores 0."""
     t = F.coalesce(text, F.lit(""))
-    count = lambda p: F.regexp_count(t, F.lit(p))
+    count = lambda p: F.regexp_count(t, F.lit(ascii_edges(p)))
     return (
         count(r"(?i)\d+(?:\.\d+)?\s*mg\b")
         + count(r"\b\d{2}-\d{2}-\d{2}\b")
@@ -229,3 +238,132 @@ def error_kind(seen: Column, meant: Column) -> Column:
         .when(differ == 0, "whitespace-only")
         .otherwise(F.concat(differ.cast("string"), F.lit("-char: "), w, F.lit("->"), g))
     )
+
+
+# Weighted evidence of two document types; each pattern counts once.
+TYPE_EVIDENCE = {
+    "receipt": (
+        (r"\b(?:receipt|till\s*(?:no|number|#)?|transaction\s*(?:no|number|id)|ref(?:erence)?\s*no)\b", 3),
+        (r"\b(?:sub-?total|total|amount\s+paid|balance\s+due|change\s+due)\b", 3),
+        (r"\b(?:vat|gst|tax|cash|card|change|contactless|chip\s*&?\s*pin)\b", 2),
+        (r"\b(?:visa|mastercard|master\s*card|amex|american\s+express)\b", 2),
+        (r"\b(?:supermarket|market|grocer|shop|store|restaurant|cafe|fuel|petrol|garage)\b", 2),
+        (r"\b(?:thank\s+you\s+for\s+shopping|please\s+come\s+again|items?|qty)\b", 2),
+        (r"\b(?:opening\s+hours|tel|phone)\b", 1),
+    ),
+    "prescription": (
+        (r"\b(?:prescription|prescribed|repeat\s+prescription)\b", 4),
+        (r"\brx\b", 4),
+        (r"\b(?:tablet|capsule|dose|dosage|sig|take\s+(?:one|two|1|2))\b", 3),
+        (r"\b\d+\s*(?:mg|mcg|ml|iu|g)\b", 3),
+        (r"\b(?:patient|prescriber|dispensed|dispense|pharmacy|chemist|repeats?|refills?)\b", 3),
+        (r"\b(?:gp|doctor|dr\.?|physician|consultant|surgery|clinic|medical\s+cent(?:re|er))\b", 2),
+        (r"\b(?:date\s+of\s+birth|dob|nhs|medicare|quantity)\b", 2),
+    ),
+}
+TYPE_FLOOR = 5
+
+
+def evidence_score(text: Column, kind: str) -> Column:
+    return sum((F.when(F.lower(text).rlike(ascii_edges(p)), w).otherwise(0) for p, w in TYPE_EVIDENCE[kind]), F.lit(0))
+
+
+def weighted_type(text: Column) -> Column:
+    """struct(type, score, confidence): the type with most evidence (receipt wins ties), unrecognised under the floor."""
+    t = F.coalesce(text, F.lit(""))
+    a, b = evidence_score(t, "receipt"), evidence_score(t, "prescription")
+    top, low = F.greatest(a, b), F.least(a, b)
+    sure = 0.5 + 0.35 * (top - low) / F.greatest(top, F.lit(1)) + 0.15 * top / F.greatest(a + b, F.lit(1))
+    named = top >= TYPE_FLOOR
+    kind = F.when(~named, "unrecognised").when(a >= b, "receipt").otherwise("prescription")
+    return F.struct(kind.alias("type"), top.alias("score"), F.round(F.when(named, sure).otherwise(top / (2 * TYPE_FLOOR)), 4).alias("confidence"))
+
+
+def reconcile_views(first: Column, first_conf: Column, second: Column) -> Column:
+    """struct(category, confidence) of two classifiers: agreement is worth 0.5 at least;
+    otherwise the first stands from 0.5 on, else the second at 0.5."""
+    agree = first.eqNullSafe(second)
+    category = F.when(agree | (first_conf >= 0.5), first).otherwise(second)
+    conf = F.when(agree, F.greatest(first_conf, F.lit(0.5))).when(first_conf >= 0.5, first_conf).otherwise(F.lit(0.5))
+    return F.struct(category.alias("category"), conf.alias("confidence"))
+
+
+def known_found(text: Column, known: Column) -> Column:
+    """The known values whose scoring form stands in the text's."""
+    t = norm(F.coalesce(text, F.lit("")))
+    return F.filter(F.coalesce(known, F.array().cast("array<string>")), lambda k: (F.length(norm(k)) > 0) & F.contains(t, norm(k)))
+
+
+def is_legible(pixels: Column, least_range: int = 28, least_ink: float = 0.01) -> Column:
+    """Enough contrast, and enough pixels darker than the midpoint. ``pixels`` is a flat array of signed bytes; empty is not legible."""
+    v = F.transform(pixels, lambda x: F.pmod(x.cast("int"), F.lit(256)))
+    hi, lo = F.array_max(v), F.array_min(v)
+    ink = F.size(F.filter(v, lambda x: x < (hi + lo) / 2)) / F.greatest(F.size(v), F.lit(1))
+    return F.coalesce((hi - lo >= least_range) & (ink >= least_ink), F.lit(False))
+
+
+def fits_density(label: Column, width: Column, px_per_char: int = 12, least: int = 2, most: int = 47) -> Column:
+    """Label length within bounds and the crop wide enough for it."""
+    n = F.length(label)
+    return F.coalesce(n.between(least, most) & (width / F.greatest(n, F.lit(1)) >= px_per_char), F.lit(False))
+
+
+def parameter_fingerprint(fields: list[Column]) -> Column:
+    """Twelve hex digits of a struct's JSON; fields in the given order."""
+    return F.substring(F.sha2(F.to_json(F.struct(*fields)), 256), 1, 12)
+
+
+def ramp(value: Column, low: float, high: float) -> Column:
+    """0 below low, 1 above high, linear between."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
+
+
+_DIGITS = "零一二三四五六七八九"
+
+
+def chinese_number(n: int | None) -> str | None:
+    """A whole number in Chinese numerals, grouped by ten thousands."""
+    if n is None:
+        return None
+    if n < 0:
+        return "負" + chinese_number(-n)
+    if n < 10:
+        return _DIGITS[n]
+    for size, unit in ((10**8, "億"), (10**4, "萬"), (1000, "千"), (100, "百"), (10, "十")):
+        if n >= size:
+            head, rest = divmod(n, size)
+            lead = "" if size == 10 and head == 1 else chinese_number(head)
+            gap = "零" if rest and rest < size // 10 else ""
+            return lead + unit + gap + (chinese_number(rest) if rest else "")
+    raise AssertionError(n)
+
+
+@F.pandas_udf(T.StringType())
+def chinese_numerals(numbers: pd.Series) -> pd.Series:
+    return numbers.map(lambda n: None if pd.isna(n) else chinese_number(int(n)))
+
+
+def wordpieces(words_: list[str], vocabulary: set[str], unknown: str = "[UNK]") -> list[str]:
+    """Greedy longest pieces of each word; inner pieces begin with ##; a word that can't be cut is unknown."""
+    out: list[str] = []
+    for w in words_:
+        pieces, at = [], 0
+        while at < len(w):
+            end = next((e for e in range(len(w), at, -1) if ("##" if at else "") + w[at:e] in vocabulary), None)
+            if end is None:
+                pieces = [unknown]
+                break
+            pieces.append(("##" if at else "") + w[at:end])
+            at = end
+        out += pieces
+    return out
+
+
+def wordpiece_tokens(text: Column, vocabulary: set[str]) -> Column:
+    """Lower-case words and single punctuation marks, cut into pieces (vocabulary ships with the function)."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda p: None if p is None else wordpieces(list(p), vocabulary))
+
+    return run(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0)))

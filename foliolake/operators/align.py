@@ -165,3 +165,39 @@ def reading_order(lines: DataFrame) -> DataFrame:
     """(page_id, text): lines of a page joined top to bottom, then left to right."""
     rows = F.array_sort(F.collect_list(F.struct("y0", "x0", "line_index", "text")))
     return lines.groupBy("page_id").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
+
+
+def consensus(aligned: DataFrame, most: float = 0.35) -> DataFrame:
+    """Pairs of align_lines whose label-form error rate is at most ``most``: lines two readings agree on."""
+    from foliolake.functions.metrics import cer_label
+
+    both = aligned.where("want is not null and got is not null")
+    return both.withColumn("cer", cer_label(F.col("want"), F.col("got"))).where(F.col("cer") <= most)
+
+
+def carrier_lines(values: DataFrame, lines: DataFrame) -> DataFrame:
+    """(page_id, value, line_index): the first line of the page that holds the value in scoring form.
+
+    Lines of a page are gathered once; values look through that list, so a
+    page's values and lines are never expanded into pairs.
+    """
+    from foliolake.functions.text import norm
+
+    listed = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_index", norm(F.col("text")).alias("t")))).alias("ls"))
+    v = norm(F.col("value"))
+    hits = F.filter("ls", lambda x: (F.length(v) > 0) & F.contains(x["t"], v))
+    return values.join(listed, "page_id").select("page_id", "value", F.try_element_at(hits, F.lit(1))["line_index"].alias("line_index")).where("line_index is not null")
+
+
+def local_confidence(fields: DataFrame, words: DataFrame) -> DataFrame:
+    """(page_id, field, confidence): least confidence of the words that stand in a field's value; none gives 0."""
+    bag = words.groupBy("page_id", F.upper("word").alias("w")).agg(F.min(F.nanvl(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0))).alias("c"))
+    parts = fields.select("page_id", "field", F.explode_outer(F.filter(F.split(F.upper("value"), r"\s+"), lambda x: x != "")).alias("w"))
+    return parts.join(bag, ["page_id", "w"], "left").groupBy("page_id", "field").agg(F.coalesce(F.min("c"), F.lit(0.0)).alias("confidence"))
+
+
+def flatten_panels(df: DataFrame, key: str, sections: str, order: list[str], least: int = 4, cap: int = 60) -> DataFrame:
+    """(key, line, text): a map of sections as numbered lines in the given order, at most ``cap`` per key."""
+    listed = F.concat(*[F.when(F.col(sections)[n].isNotNull(), F.array(F.col(sections)[n])).otherwise(F.array().cast("array<string>")) for n in order])
+    lines = F.filter(F.flatten(F.transform(listed, lambda t: F.split(t, "\n"))), lambda t: F.length(F.trim(t)) >= least)
+    return df.select(key, F.posexplode(F.slice(F.transform(lines, lambda t: F.trim(t)), 1, cap)).alias("line", "text"))

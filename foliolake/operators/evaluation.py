@@ -6,6 +6,10 @@ expected_fields, fields, expected_text, ocr_text, ocr_confidence, error).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,3 +214,141 @@ def second_reader(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> Da
         .otherwise("differ")
     )
     return x.join(y, keys, "full_outer").withColumn("kind", kind)
+
+
+def value_hits(said: DataFrame, truth: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """(key, spoken, truths, hits, recovered, wrong): values against a page's true ones, both ways.
+
+    A hit is a said value that matches some truth, recovered counts matched
+    truths, wrong is the rest of the said ones (the anti join). Lists are
+    gathered per page, so pages meet once and no pairs leave a row.
+    """
+    gather = lambda df, name: df.groupBy(key).agg(F.collect_list(value).alias(name))
+    none = F.array().cast("array<string>")
+    j = gather(said, "s").join(gather(truth, "t"), key, "full_outer").withColumn("s", F.coalesce("s", none)).withColumn("t", F.coalesce("t", none))
+    hits = F.size(F.filter("s", lambda a: F.exists("t", lambda b: metrics.matches_value(a, b))))
+    found = F.size(F.filter("t", lambda b: F.exists("s", lambda a: metrics.matches_value(a, b))))
+    return j.select(key, F.size("s").alias("spoken"), F.size("t").alias("truths"), hits.alias("hits"), found.alias("recovered"), (F.size("s") - hits).alias("wrong"))
+
+
+def precision_recall(hits: DataFrame) -> DataFrame:
+    """One row over value_hits: precision of what was said, recall of what was true; 0 where undefined."""
+    rate = lambda a, b: F.coalesce(F.try_divide(F.sum(a), F.sum(b)), F.lit(0.0))
+    return hits.agg(rate("hits", "spoken").alias("precision"), rate("recovered", "truths").alias("recall"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong"))
+
+
+def wrong_values(said: DataFrame, truth: DataFrame, key: str, value: str = "value") -> DataFrame:
+    """(key, value) that match no truth of their page; pages without truths have all of theirs."""
+    t = truth.groupBy(key).agg(F.collect_list(value).alias("t"))
+    return said.join(t, key, "left").where(~F.coalesce(F.exists("t", lambda b: metrics.matches_value(F.col(value), b)), F.lit(False))).select(key, value)
+
+
+def gated_precision(df: DataFrame, keep, right) -> DataFrame:
+    """Rows scanned and kept, and how often each is right; the two are counted apart."""
+    k, r = F.coalesce(keep, F.lit(False)), F.coalesce(right, F.lit(False))
+    return df.agg(
+        F.count("*").alias("scanned"), F.sum(k.cast("long")).alias("kept"), F.avg(r.cast("int")).alias("scanned_precision"),
+        F.coalesce(F.avg(F.when(k, r.cast("int"))), F.lit(0.0)).alias("kept_precision"),
+    )
+
+
+def line_metrics(aligned: DataFrame) -> DataFrame:
+    """Per page of align_lines: cer, detection_recall, exact lines, missed and spurious.
+
+    Missed lines add their characters to the denominator but no edits, as
+    the original definition has it.
+    """
+    both = F.col("want").isNotNull() & F.col("got").isNotNull()
+    w = norm_label(F.coalesce("want", F.lit("")))
+    d = F.when(both, metrics.edits(w, norm_label(F.coalesce("got", F.lit(""))))).otherwise(0)
+    count = lambda c: F.sum(c.cast("long"))
+    paired, missed = F.col("want_index").isNotNull() & F.col("got_index").isNotNull(), F.col("got_index").isNull()
+    return aligned.groupBy("page_id").agg(
+        F.coalesce(F.try_divide(F.sum(d), F.sum(F.when(F.col("want_index").isNotNull(), F.greatest(F.length(w), F.lit(1))).otherwise(0))), F.lit(0.0)).alias("cer"),
+        F.coalesce(F.try_divide(count(paired), count(paired | missed)), F.lit(0.0)).alias("detection_recall"),
+        count(both & (metrics.exact_strict(F.col("want"), F.col("got")))).alias("exact_lines"), count(missed).alias("missed"),
+        count(F.col("want_index").isNull()).alias("spurious"),
+    )
+
+
+def edit_pairs(ref: str, hyp: str) -> list[tuple[str, str]]:
+    """(true, read) characters of one optimal alignment, '' for a lost or invented one; substitutions before losses."""
+    n, m = len(ref), len(hyp)
+    t = np.zeros((n + 1, m + 1), dtype=np.int32)
+    t[:, 0], t[0, :] = np.arange(n + 1), np.arange(m + 1)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            t[i, j] = min(t[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]), t[i - 1, j] + 1, t[i, j - 1] + 1)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and t[i, j] == t[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            out.append((ref[i], hyp[j]))
+        elif i and t[i, j] == t[i - 1, j] + 1:
+            i -= 1
+            out.append((ref[i], ""))
+        else:
+            j -= 1
+            out.append(("", hyp[j]))
+    return out[::-1]
+
+
+def confusion_pairs(lines: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """(true, read, n) over all aligned lines, equal characters included. Meant for lines: the alignment is quadratic in length."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [p for a, b in zip(pdf["a"], pdf["b"]) for p in edit_pairs(a, b)]
+            yield pd.DataFrame(rows, columns=["true", "read"])
+
+    slim = lines.select(F.coalesce(ref, F.lit("")).alias("a"), F.coalesce(hyp, F.lit("")).alias("b"))
+    return slim.mapInPandas(run, "true string, read string").groupBy("true", "read").agg(F.count("*").alias("n"))
+
+
+def bootstrap_ci(df: DataFrame, key: str, value: str, resamples: int = 4000, seed: int = 0) -> DataFrame:
+    """(key, mean, low, high): percentile interval of the mean over resampled items.
+
+    Only counts of distinct values reach a group's task, and a resample is a
+    multinomial draw over them, so a group may be of any size.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        v, n = pdf["v"].to_numpy(), pdf["n"].to_numpy()
+        total = int(n.sum())
+        means = np.random.default_rng(seed).multinomial(total, n / total, size=resamples) @ v / total
+        low, high = np.percentile(means, [2.5, 97.5])
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "mean": [float(v @ n / total)], "low": [low], "high": [high]})
+
+    return counts.groupBy(key).applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, mean double, low double, high double")
+
+
+def elect_best(candidates: DataFrame, key: str, structure: str, confidence: str, rank: str, text: str) -> DataFrame:
+    """Per key the candidate with most structure, then confidence, then least rank; empty texts don't stand."""
+    order = F.struct(F.col(structure), F.nanvl(F.coalesce(F.col(confidence).cast("double"), F.lit(0.0)), F.lit(0.0)), -F.col(rank))
+    rows = F.struct(*[c for c in candidates.columns if c != key])
+    return candidates.where(F.trim(F.coalesce(text, F.lit(""))) != "").groupBy(key).agg(F.max_by(rows, order).alias("b")).select(key, "b.*")
+
+
+def best_variant(variants: DataFrame, key: str) -> DataFrame:
+    """Per key the (name, exact, cer) with most exact, then least cer, then first name."""
+    return variants.groupBy(key).agg(F.min_by("name", F.struct((-F.col("exact")).alias("e"), "cer", "name")).alias("name"))
+
+
+def top_k(df: DataFrame, value: str, k: int) -> DataFrame:
+    """(value, n) of the k most frequent values, ties by value (a report of fixed size)."""
+    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(k)
+
+
+def count_maps(df: DataFrame, key: str, kind: str) -> DataFrame:
+    """(key, counts): a map of how often each kind stands per key, merged from partial counts."""
+    per = df.groupBy(key, kind).agg(F.count("*").alias("n"))
+    return per.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n")))).alias("counts"))
+
+
+def ratio_profile(df: DataFrame, key: str, ratio, low: float = 0.85, high: float = 1.15) -> DataFrame:
+    """(key, p10, p50, p90, inside): percentiles of a ratio and the share within bounds."""
+    r = df.withColumn("__r", ratio.cast("double"))
+    q = lambda p: F.percentile("__r", F.lit(p))
+    return r.groupBy(key).agg(q(0.1).alias("p10"), q(0.5).alias("p50"), q(0.9).alias("p90"), F.avg(F.col("__r").between(low, high).cast("int")).alias("inside"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from foliolake.plans import corpus_queries, pipeline_queries, record_queries, value_queries
+from foliolake.plans import corpus_queries, more_queries, pipeline_queries, record_queries, value_queries
 
-MODULES = (record_queries, value_queries, corpus_queries, pipeline_queries)
+MODULES = (record_queries, value_queries, corpus_queries, more_queries, pipeline_queries)
 FLAGSHIP = "by_profile"
 
 

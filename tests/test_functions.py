@@ -147,3 +147,23 @@ def test_vectors(spark):
     assert one(spark, decode.l2_normalise(F.col("v")), v=[3.0, 4.0]) == [0.6, 0.8]
     assert one(spark, decode.l2_normalise(F.col("v")), v=[0.0, 0.0]) == [0.0, 0.0]
     assert one(spark, decode.mask_scores(F.col("v"), [2]), v=[1.0, 2.0, 3.0]) == [1.0, float("-inf"), 3.0]
+
+
+@pytest.mark.parametrize("n,want", [(0, "零"), (10, "十"), (15, "十五"), (105, "一百零五"), (1020, "一千零二十"), (20300, "二萬零三百"), (-3, "負三")])
+def test_chinese_numbers(n, want):
+    assert text.chinese_number(n) == want
+
+
+def test_wordpieces():
+    vocabulary = {"play", "##ing", "##s", "a"}
+    assert text.wordpieces(["playing", "plays", "zz", "a"], vocabulary) == ["play", "##ing", "play", "##s", "[UNK]", "a"]
+
+
+def test_weighted_type(spark):
+    w = one(spark, text.weighted_type(F.col("v")), v="CARD PAYMENT AMOUNT DUE")
+    assert (w.type, w.score) == ("unrecognised", 2)
+    assert one(spark, text.weighted_type(F.col("v")), v="Rx: tablet 5 mg").type == "prescription"
+
+
+def test_legible(spark):
+    assert one(spark, text.is_legible(F.col("v")), v=[0, 100, 100, 100]) and not one(spark, text.is_legible(F.col("v")), v=[100, 101])

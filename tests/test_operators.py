@@ -197,3 +197,49 @@ def test_history(spark):
     n = spark.createDataFrame([(1, 2, "c"), (2, 5, "d"), (3, None, "e")], "id int, v int, x string")
     assert {(r.id, r.x) for r in history.upsert_latest(s, n, "id", "v").collect()} == {(1, "c"), (2, "d"), (3, "e")}
     assert history.delete_keys(s, n, "id").count() == 0
+
+
+def test_value_hits(spark):
+    said = spark.createDataFrame([("p", "ending 8877"), ("p", "500mg"), ("q", "zzzz"), ("r", None)], "page string, value string")
+    true = spark.createDataFrame([("p", "500MG"), ("p", "400mg"), ("s", "x1")], "page string, value string")
+    got = {r.page: (r.spoken, r.truths, r.hits, r.recovered, r.wrong) for r in evaluation.value_hits(said, true, "page").collect()}
+    assert got == {"p": (2, 2, 1, 1, 1), "q": (1, 0, 0, 0, 1), "r": (0, 0, 0, 0, 0), "s": (0, 1, 0, 0, 0)}
+    assert {(r.page, r.value) for r in evaluation.wrong_values(said, true, "page").collect()} == {("p", "ending 8877"), ("q", "zzzz"), ("r", None)}
+
+
+def test_edit_pairs():
+    assert evaluation.edit_pairs("abc", "axc") == [("a", "a"), ("b", "x"), ("c", "c")]
+    assert evaluation.edit_pairs("", "x") == [("", "x")] and evaluation.edit_pairs("ab", "b") == [("a", ""), ("b", "b")]
+
+
+def test_bootstrap_ci(spark):
+    df = spark.createDataFrame([("a", float(i % 2)) for i in range(400)] + [("b", 1.0), ("b", None)], "k string, v double")
+    r = {x.k: x for x in evaluation.bootstrap_ci(df, "k", "v", 2000).collect()}
+    assert r["a"].mean == 0.5 and 0.43 < r["a"].low < 0.47 and 0.53 < r["a"].high < 0.57
+    assert (r["b"].low, r["b"].high) == (1.0, 1.0)
+
+
+def test_elect_best(spark):
+    rows = [("p", 1, 2, 0.9, "x"), ("p", 2, 3, None, "y"), ("p", 3, 3, 0.5, "z"), ("p", 4, 3, 0.5, "w"), ("p", 5, 9, 1.0, " ")]
+    df = spark.createDataFrame(rows, "k string, rank int, structure int, conf double, t string")
+    assert [r.t for r in evaluation.elect_best(df, "k", "structure", "conf", "rank", "t").collect()] == ["z"]
+
+
+def test_grid_components(spark):
+    from foliolake.operators.graph import grid_components
+
+    cells = [(0, 0), (0, 1), (1, 1), (3, 3), (3, 4), (5, 0), (2, 2)]
+    df = spark.createDataFrame([("g", r, c) for r, c in cells] + [("h", 0, 1), ("g", None, 1)], "k string, row int, col int")
+    out = grid_components(df, "k").collect()
+    assert len({r.component for r in out}) == 5 and len(out) == 8
+    same = {(r.row, r.col): r.component for r in out if r.k == "g"}
+    assert same[0, 0] == same[1, 1] != same[2, 2] and same[3, 3] == same[3, 4]
+
+
+def test_carriers_and_confidence(spark):
+    lines = spark.createDataFrame([("p", 0, "Total"), ("p", 1, "GBP 2.00 x"), ("p", 2, "gbp 2.00")], "page_id string, line_index int, text string")
+    vals = spark.createDataFrame([("p", "GBP 2.00"), ("p", "none"), ("q", "x")], "page_id string, value string")
+    assert [(r.value, r.line_index) for r in align.carrier_lines(vals, lines).collect()] == [("GBP 2.00", 1)]
+    words = spark.createDataFrame([("p", "gbp", 0.9), ("p", "2.00", None)], "page_id string, word string, confidence double")
+    f = spark.createDataFrame([("p", "total", "GBP 2.00"), ("p", "first", "GBP"), ("p", "no", "")], "page_id string, field string, value string")
+    assert {(r.field, r.confidence) for r in align.local_confidence(f, words).collect()} == {("total", 0.0), ("first", 0.9), ("no", 0.0)}
