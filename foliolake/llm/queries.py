@@ -97,6 +97,22 @@ pages as (select {_PAGE.format('doc')} doc, {_SPLIT.format('split')} s from crop
 seen as (select p.doc, coalesce(l.g, p.doc) g, s from pages p left join label l on l.doc = p.doc where p.doc is not null),
 leak as (select g from seen group by g having count(distinct s) > 1)
 select distinct doc from seen where g in (select g from leak)""",
+    "p3_found": f"""
+with n as (
+  select crop_id, {_SPLIT.format('split')} s, regexp_replace(lower(labels), '[^a-z0-9]', '', 'g') t,
+    row_number() over (partition by crop_id order by loaded_at desc nulls last) r from crops),
+c as (select crop_id, s, t from n where r = 1 and s is not null and length(t) >= 24),
+tr as (select distinct t from c where s = 'train'), ev as (select distinct t from c where s <> 'train'),
+m as (select ev.t e, tr.t t from ev join tr on abs(length(ev.t) - length(tr.t)) <= greatest(length(ev.t), length(tr.t)) // 10
+  and levenshtein(ev.t, tr.t) <= greatest(length(ev.t), length(tr.t)) // 10)
+select least(a.crop_id, b.crop_id) crop_a, greatest(a.crop_id, b.crop_id) crop_b
+from m join c a on a.t = m.t and a.s = 'train' join c b on b.t = m.e and b.s <> 'train'""",
+    "p8_found": """
+with w as (select doc_id, i, hash(substring(text, i, 200)) g, length(text) n from (select doc_id, text, unnest(range(1, length(text) - 198)) i from documents where length(text) >= 200)),
+h as (select g from w group by g having min(doc_id) <> max(doc_id)),
+p as (select doc_id, i - 1 s from w join h using (g)),
+m as (select *, sum(case when s <= b + 200 then 0 else 1 end) over (partition by doc_id order by s) k from (select *, lag(s) over (partition by doc_id order by s) b from p))
+select doc_id, min(s)::bigint span_start, (max(s) + 200)::bigint span_end from m group by doc_id, k""",
     "p3_report": f"""
 with n as (
   select crop_id, {_PAGE.format('doc')} doc, {_SPLIT.format('split')} s, regexp_replace(lower(labels), '[^a-z0-9]', '', 'g') t,

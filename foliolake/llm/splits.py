@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from foliolake.llm.pages import page_id, page_kind, split_name
 from foliolake.operators.current import newest
+from foliolake.operators.graph import components
 from foliolake.operators.prefix import prefix_sums
 from foliolake.session import cut
 
@@ -27,29 +28,6 @@ SPLITS = ("train", "val", "test")
 PREFIX_BUCKETS = 64
 
 
-def components(members: DataFrame, record: str = "record", entity: str = "entity") -> DataFrame:
-    """(record, group) for every record of ``members`` (record, entity).
-
-    The group is the least record id reachable through shared entities. Null
-    records or entities tie nothing and are dropped; repeats don't matter; an
-    empty table gives an empty result.
-    """
-    edges = members.select(F.col(record).alias("r"), F.col(entity).alias("e")).where("r is not null and e is not null").distinct()
-    edges = cut(edges)
-    labels = cut(edges.select("r").distinct().withColumn("l", F.col("r")))
-    while True:
-        by_entity = edges.join(labels, "r").groupBy("e").agg(F.min("l").alias("el"))
-        heard = edges.join(by_entity, "e").groupBy("r").agg(F.min("el").alias("h"))
-        stepped = labels.join(heard, "r", "left").select("r", F.col("l").alias("was"), F.least("l", "h").alias("l"))
-        roots = stepped.select(F.col("r").alias("l"), F.col("l").alias("root"))
-        jumped = stepped.join(roots, "l", "left").select("r", "was", F.least("l", F.coalesce("root", "l")).alias("l"))
-        jumped = cut(jumped)
-        changed = jumped.where("l <> was").limit(1).count()
-        labels = jumped.select("r", "l")
-        if not changed:
-            return labels.select(F.col("r").alias(record), F.col("l").alias("group"))
-
-
 def page_groups(links: DataFrame) -> DataFrame:
     """(doc, group) of every page in the links; self-links and null ends tie nothing."""
     ends = links.select(page_id(F.col("page_a")).alias("a"), page_id(F.col("page_b")).alias("b"))
