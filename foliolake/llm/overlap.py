@@ -279,3 +279,22 @@ def overlap_report(crops: DataFrame) -> DataFrame:
         )
         .withColumn("leaked_part", F.col("leaked_crops") / F.col("n_crops"))
     )
+
+
+def record_coverage(crops: DataFrame) -> DataFrame:
+    """(crop_id, split, source, n_pairs, coverage) of every held crop with a label long enough.
+
+    coverage is the share of the label's characters that the nearest matching
+    train label leaves unedited; 0 without a match.
+    """
+    rows = cut(labelled(crops))
+    matches = cut(matching_texts(rows))
+    both = matches.unionByName(
+        matches.where("text_a <> text_b").select(F.col("text_b").alias("text_a"), F.col("text_a").alias("text_b"), "edits")
+    )
+    train = rows.where("split = 'train'").groupBy(F.col("text").alias("text_a")).agg(F.count("*").alias("n"))
+    kept = 1 - F.col("edits") / F.greatest(F.length("text_a"), F.length("text_b"))
+    per_text = both.join(train, "text_a").groupBy(F.col("text_b").alias("text")).agg(F.sum("n").alias("n_pairs"), F.max(kept).alias("coverage"))
+    held = rows.where("split <> 'train'").join(per_text, "text", "left")
+    source = F.coalesce(page_kind(F.col("doc")), F.lit(""))
+    return held.select("crop_id", "split", source.alias("source"), F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

@@ -59,6 +59,8 @@ def test_overlaps_are_complete(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
     report = overlap.overlap_report(df).collect()
     assert sum(r.n_pairs for r in report) == len(want)
+    cover = overlap.record_coverage(df).collect()
+    assert sum(r.n_pairs for r in cover) == len(want) and all((r.coverage >= 0.9) == (r.n_pairs > 0) for r in cover)
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
