@@ -52,18 +52,17 @@ def kind_of_variant(value: Column) -> Column:
 def explode_records(files: DataFrame) -> DataFrame:
     """One row per top-level field of each readable body.
 
-    Blank, cut or non-object bodies give no rows; lines delivered twice are
-    read once (latest ``received_at``). Columns: file keys, line_no, doc,
-    profile, field, kind (null for a null value), value (JSON text).
+    Blank, cut or non-object bodies give no rows. Lines delivered twice stay
+    twice, which changes neither schemas nor evidence. Columns: file keys,
+    further columns of ``files``, doc, profile, field, kind (null for a null
+    value), value (JSON text).
     """
-    lines = files.select(*FILE, "line_no", "received_at", "body")
-    once = lines.groupBy(*FILE, "line_no").agg(F.max_by("body", F.struct("received_at", "body")).alias("body"))
-    parsed = once.withColumn("v", F.try_parse_json("body")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    spark = files.sparkSession
-    parts = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+    rest = [c for c in files.columns if c not in (*FILE, "body")]
+    parsed = files.withColumn("v", F.try_parse_json("body")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    parts = parsed.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("v").outer()))
     return parts.select(
         *FILE,
-        "line_no",
+        *rest,
         F.try_variant_get("v", "$.doc", "string").alias("doc"),
         F.try_variant_get("v", "$.profile", "string").alias("profile"),
         F.col("key").alias("field"),
@@ -130,25 +129,29 @@ def _spread(tokens: Column) -> Column:
     )
 
 
-def renames(records: DataFrame, pairs: DataFrame, steps: DataFrame) -> DataFrame:
+def renames(files: DataFrame, pairs: DataFrame, steps: DataFrame) -> DataFrame:
     """(file keys, old_field, new_field) of fields that went and came back under another name.
 
-    ``steps`` has the added and removed fields per file. Values of both are
-    matched on the same doc and profile; the mean share of common tokens over
-    all records that have both decides, and each name is used once (best
-    mutual match, names breaking ties). Fields that are null throughout give
-    no evidence and are never renamed.
+    ``steps`` has the added and removed fields per file; only their values are
+    taken from the bodies. Values of both are matched on the same doc and
+    profile; the mean share of common tokens over all records that have both
+    decides, and each name is used once (best mutual match, names breaking
+    ties). Fields that are null throughout give no evidence and are never
+    renamed.
     """
-    live = records.where("kind is not null and doc is not null and profile is not null").withColumn(
-        "tokens", content_tokens(F.col("value"))
-    )
-    live = live.where(F.size("tokens") > 0)
     here = ["doc", "profile"]
-    gone = (
+    gone = cut(
         steps.where("change_kind = 'removed'")
         .join(pairs, FILE)
         .select(*FILE, F.col("prev_run"), F.col("prev_file"), F.col("old_field"))
     )
+    came = steps.where("change_kind = 'added'").select(*FILE, "new_field")
+    before = gone.select(*CHAIN, F.col("prev_run").alias("run_no"), F.col("prev_file").alias("file_name"), F.col("old_field").alias("field"))
+    asked = cut(before.unionByName(came.withColumnRenamed("new_field", "field")).groupBy(*FILE).agg(F.collect_set("field").alias("asked")))
+    live = explode_records(files.select(*FILE, "body").join(asked, FILE)).where(
+        "array_contains(asked, field) and kind is not null and doc is not null and profile is not null"
+    )
+    live = live.select(*FILE, "field", *here, content_tokens(F.col("value")).alias("tokens")).where(F.size("tokens") > 0)
     old = (
         live.select(*CHAIN, F.col("run_no").alias("prev_run"), F.col("file_name").alias("prev_file"),
                     F.col("field").alias("old_field"), *here, F.col("tokens").alias("old_tokens"))
@@ -158,7 +161,7 @@ def renames(records: DataFrame, pairs: DataFrame, steps: DataFrame) -> DataFrame
     )
     new = (
         live.select(*FILE, F.col("field").alias("new_field"), *here, F.col("tokens").alias("new_tokens"))
-        .join(steps.where("change_kind = 'added'").select(*FILE, "new_field"), [*FILE, "new_field"])
+        .join(came, [*FILE, "new_field"])
         .groupBy(*FILE, "new_field", *here)
         .agg(F.max("new_tokens").alias("new_tokens"))
     )
@@ -176,6 +179,7 @@ def renames(records: DataFrame, pairs: DataFrame, steps: DataFrame) -> DataFrame
         .groupBy(*FILE, "old_field", "new_field")
         .agg(F.sum("part").alias("part"), F.sum("whole").alias("whole"))
     )
+    shared = cut(shared)
     both = (
         shared.select(*FILE, "old_field", "new_field")
         .join(old.select(*FILE, "old_field", *here), [*FILE, "old_field"])
@@ -194,15 +198,16 @@ def renames(records: DataFrame, pairs: DataFrame, steps: DataFrame) -> DataFrame
     )
 
 
-def changes(files: DataFrame, records: DataFrame | None = None) -> DataFrame:
+def changes(files: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """Every schema change of a file against its predecessor.
 
     Columns: file keys, change_kind (added, removed, renamed, retyped),
     old_field, new_field. A field without non-null values on either side is
     not retyped. A file whose bodies are all unreadable has no fields.
     """
-    records = explode_records(files) if records is None else records
-    schemas, pairs = file_schemas(records), neighbours(files)
+    # Both are small, one row per file or per field of a file, and used again and again.
+    schemas = cut(file_schemas(explode_records(files.select(*FILE, "body")))) if schemas is None else schemas
+    pairs = cut(neighbours(files))
     after = pairs.join(schemas, FILE).select(*FILE, "field", F.col("kinds").alias("new_kinds"), F.lit(None).cast("array<string>").alias("old_kinds"))
     earlier = schemas.select(*CHAIN, F.col("run_no").alias("prev_run"), F.col("file_name").alias("prev_file"), "field", "kinds")
     before = pairs.join(earlier, [*CHAIN, "prev_run", "prev_file"]).select(
@@ -221,7 +226,7 @@ def changes(files: DataFrame, records: DataFrame | None = None) -> DataFrame:
         F.when(F.col("new_kinds").isNull(), "").otherwise(F.col("field")).alias("new_field"),
     ).where("change_kind is not null")
     steps = cut(steps)
-    moved = cut(renames(records, pairs, steps))
+    moved = cut(renames(files, pairs, steps))
     named = moved.select(*FILE, F.lit("renamed").alias("change_kind"), "old_field", "new_field")
     rest = steps.join(moved.select(*FILE, "old_field").withColumn("change_kind", F.lit("removed")), [*FILE, "change_kind", "old_field"], "left_anti")
     rest = rest.join(moved.select(*FILE, "new_field").withColumn("change_kind", F.lit("added")), [*FILE, "change_kind", "new_field"], "left_anti")
@@ -307,15 +312,14 @@ def consistent_records(files: DataFrame, typed: dict[str, DataFrame]) -> DataFra
     null. ``origin`` is the file name or the typed table's name, and
     ``version`` the fingerprint of the raw file's schema.
     """
-    records = explode_records(files)
-    schemas = file_schemas(records)
-    names = canonical_names(schemas, changes(files, records))
+    schemas = cut(file_schemas(explode_records(files.select(*FILE, "body"))))
+    names = cut(canonical_names(schemas, changes(files, schemas)))
     # One small row per file: the file's name of every target field. A field
     # that stands beside the one renamed to its name gives way to it.
     known = F.col("canonical").isin(list(TARGET))
     chosen = names.where(known).groupBy(*FILE, "canonical").agg(F.max(F.struct((F.col("field") != F.col("canonical")).alias("r"), "field")).alias("f"))
     per_file = chosen.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("canonical", "f.field"))).alias("named"))
-    per_file = fingerprints(schemas).select(*FILE, "version").join(per_file, FILE, "left")
+    per_file = cut(fingerprints(schemas).select(*FILE, "version").join(per_file, FILE, "left"))
     lines = files.select(*FILE, "line_no", "received_at", "body")
     once = lines.groupBy(*FILE, "line_no").agg(F.max_by("body", F.struct("received_at", "body")).alias("body"))
     parsed = once.select(*FILE, "line_no", F.from_json("body", "map<string,variant>").alias("m")).where("m is not null")

@@ -17,7 +17,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = schema_drift.explode_records(table(spark, sf_dir, "pipeline_raw_files"))
+    files = table(spark, sf_dir, "pipeline_raw_files")
+    records = schema_drift.explode_records(files.select(*schema_drift.FILE, "body"))
     return schema_drift.fingerprints(schema_drift.file_schemas(records))
 
 
