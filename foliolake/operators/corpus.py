@@ -35,12 +35,10 @@ def positional_split(groups: DataFrame, key: str, shares: tuple[float, float] =
     """
     keys = groups.select(key).where(F.col(key).isNotNull()).distinct()
     ranked = global_rank(keys, key)
-    n = ranked.agg(F.max("rank").alias("n"))
-    j = ranked.join(n, how="cross")  # n is a single row
-    train = F.greatest(F.lit(1), F.bround(F.col("n") * shares[0]))
-    val = F.greatest(F.lit(1), F.bround(F.col("n") * shares[1]))
+    n = ranked.agg(F.max("rank").alias("n")).first().n or 0
+    train, val = max(1, round(n * shares[0])), max(1, round(n * shares[1]))
     split = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + val, "val").otherwise("test")
-    return j.select(key, split.alias("split"))
+    return ranked.select(key, split.alias("split"))
 
 
 def global_rank(keys: DataFrame, key: str, pieces: int = 64) -> DataFrame:
@@ -83,11 +81,16 @@ def cap_per_group(df: DataFrame, group: str, order: list, cap: int) -> DataFrame
 
 
 def strided_sample(df: DataFrame, group: str, order: list, cap: int) -> DataFrame:
-    """Every (n // cap)-th row of a group, up to ``cap`` (a sampling operator)."""
-    w = Window.partitionBy(group)
-    r = df.withColumn("__r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    """Every (n // cap)-th row of a group, up to ``cap`` (a sampling operator).
+
+    Group sizes come from partial counts; the numbering streams through each
+    group in order.
+    """
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    r = df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    r = r.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / cap))
-    return r.where((F.col("__r") % step == 0) & (F.floor(F.col("__r") / step) < cap)).drop("__r", "__n")
+    return r.where((F.col("__r") % step == 0) & (F.floor(F.col("__r") / step) < cap)).drop("__r", "__n", "__g")
 
 
 def augment(df: DataFrame, copies: int, change) -> DataFrame:

@@ -45,12 +45,12 @@ def backoff_logp(queries: DataFrame, c1: DataFrame, c2: DataFrame, c3: DataFrame
     """
     size3 = c3.groupBy(F.substring("gram", 1, 2).alias("ctx")).agg(F.sum("n").alias("t3"))
     size2 = c2.groupBy(F.substring("gram", 1, 1).alias("c")).agg(F.sum("n").alias("t2"))
-    total = c1.agg(F.sum("n").alias("t1"), F.count("*").alias("v"))
+    total = c1.agg(F.sum("n").alias("t1"), F.count("*").alias("v")).first()
     q = queries.withColumn("g3", F.concat("ctx", "ch")).withColumn("g2", F.concat(F.substring("ctx", 2, 1), F.col("ch"))).withColumn("c", F.substring("ctx", 2, 1))
     q = q.join(c3.select(F.col("gram").alias("g3"), F.col("n").alias("n3")), "g3", "left").join(size3, "ctx", "left")
     q = q.join(c2.select(F.col("gram").alias("g2"), F.col("n").alias("n2")), "g2", "left").join(size2, "c", "left")
-    q = q.join(c1.select(F.col("gram").alias("ch"), F.col("n").alias("n1")), "ch", "left").join(total, how="cross")
-    p1 = (F.coalesce("n1", F.lit(0)) + 1.0) / (F.col("t1") + F.col("v"))
+    q = q.join(c1.select(F.col("gram").alias("ch"), F.col("n").alias("n1")), "ch", "left")
+    p1 = (F.coalesce("n1", F.lit(0)) + 1.0) / F.lit(max(1, (total.t1 or 0) + total.v))
     p = F.when(F.col("n3").isNotNull(), F.col("n3") / F.col("t3")).when(F.col("n2").isNotNull(), F.lit(lam) * F.col("n2") / F.col("t2")).otherwise(F.lit(lam * lam) * p1)
     return q.select(*queries.columns, F.log(p).alias("logp"))
 
@@ -85,8 +85,8 @@ def mine_lexicon(counts: DataFrame, least: int, core: list[str]) -> DataFrame:
 
 def weighted_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """(word, weight): a's counts plus b's scaled to a's total, each b word adding at least 1."""
-    scale = a.agg(F.sum("n").alias("x")).join(b.agg(F.sum("n").alias("y")), how="cross").select((F.col("x") / F.col("y")).alias("scale"))
-    scaled = b.join(scale, how="cross").select("word", F.greatest(F.lit(1.0), F.col("n") * F.col("scale")).alias("w"))
+    x, y = (df.agg(F.sum("n").alias("t")).first().t or 0 for df in (a, b))
+    scaled = b.select("word", F.greatest(F.lit(1.0), F.col("n") * F.lit(x / y if y else 0.0)).alias("w"))
     return a.select("word", F.col("n").cast("double").alias("w")).unionByName(scaled).groupBy("word").agg(F.sum("w").alias("weight"))
 
 

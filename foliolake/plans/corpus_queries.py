@@ -86,16 +86,16 @@ def length_distribution(spark, sf_dir):
 def iqr_divergence(spark, sf_dir):
     """Each profile's median label length against the clean profile's, in its IQR."""
     per = length_distribution(spark, sf_dir)
-    base = per.where("profile = 'studio_clean'").select(F.col("median").alias("base"), F.col("iqr").alias("base_iqr"))
-    j = per.where("profile is not null").join(base, how="cross")  # base is one row
-    return j.select("profile", F.round(corpus.divergence(F.col("median"), F.col("base"), F.col("base_iqr")), 9).alias("divergence"))
+    base = per.where("profile = 'studio_clean'").first()
+    out = corpus.divergence(F.col("median"), F.lit(base.median), F.lit(base.iqr))
+    return per.where("profile is not null").select("profile", F.round(out, 9).alias("divergence"))
 
 
 def profile_brackets(spark, sf_dir):
     per = length_distribution(spark, sf_dir)
-    base = per.where("profile = 'studio_clean'").select(F.col("median").alias("b1"), F.col("mean").alias("b2"))
-    j = per.where("profile is not null").join(base, how="cross")  # base is one row
-    return j.select("profile", F.round(corpus.worst_ratio([(F.col("median"), F.col("b1")), (F.col("mean"), F.col("b2"))]), 6).alias("worst"))
+    base = per.where("profile = 'studio_clean'").first()
+    worst = corpus.worst_ratio([(F.col("median"), F.lit(base.median)), (F.col("mean"), F.lit(base["mean"]))])
+    return per.where("profile is not null").select("profile", F.round(worst, 6).alias("worst"))
 
 
 def severity_monotone(spark, sf_dir):

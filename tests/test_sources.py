@@ -11,9 +11,9 @@ from foliolake.streaming import latest
 
 def test_readers(spark, tmp_path):
     (tmp_path / "t").mkdir()
-    (tmp_path / "t" / "Jodix pills.txt").write_text("first   line\nab\n[?] third")
+    (tmp_path / "t" / "iodine pills.txt").write_text("first   line\nab\n[?] third")
     got = [(r.stem, r.line_index, r.text) for r in readers.transcripts(spark, str(tmp_path / "t")).collect()]
-    assert got == [("Jodix%20pills", 0, "first line"), ("Jodix%20pills", 2, "[?] third")]
+    assert got == [("iodine%20pills", 0, "first line"), ("iodine%20pills", 2, "[?] third")]
     (tmp_path / "lex.tsv").write_text("mg\t12\ndose\n")
     assert {(r.word, r.n) for r in readers.weighted_lexicon(spark, str(tmp_path / "lex.tsv")).collect()} == {("mg", 12.0), ("dose", 1.0)}
     (tmp_path / "h.csv").write_text("Image;P1\na;1,2\n")
