@@ -303,7 +303,7 @@ from (select w, g, hamming(case when length(g) = length(w) then g else w end, w)
     "hit_classes": f"""with h as (select doc_id, {_hits()} from (select doc_id, lower(text) t from documents where text is not null)),
 c as (select *, least(0.95, h_banking * 0.09 + 0.05) cb, least(0.95, h_medical * 0.09 + 0.05) cm, least(0.95, h_legal * 0.09 + 0.05) cl from h),
 p as (select *, case when cm > greatest(0.1, cb) and cm >= cl then 'medical' when cl > greatest(0.1, cb, cm) then 'legal' when cb > 0.1 then 'banking' else 'general' end category from c)
-select doc_id, category, round(case category when 'medical' then cm when 'legal' then cl when 'banking' then cb else 0.1 end, 6) confidence, case category when 'medical' then h_medical when 'legal' then h_legal when 'banking' then h_banking else 0 end hits from p""",
+select doc_id, category, round(case category when 'medical' then cm when 'legal' then cl when 'banking' then cb else 0.1 end::double, 6) confidence, case category when 'medical' then h_medical when 'legal' then h_legal when 'banking' then h_banking else 0 end hits from p""",
     "structure_scores": r"""select doc_id, len(regexp_extract_all(text, '(?i)\d+(?:\.\d+)?\s*mg\b')) + len(regexp_extract_all(text, '\b\d{2}-\d{2}-\d{2}\b'))
  + 2 * len(regexp_extract_all(text, '\b\d{4}-[A-Z]{2}-\d{3,8}\b')) + len(list_filter(regexp_extract_all(text, '[\d-]+'), lambda x: regexp_full_match(x, '\d{6,8}')))
  + len(regexp_extract_all(text, '(?:[£$€]|[A-Z]{3})\s?\d[\d,]*(?:\.\d{2})?')) score,

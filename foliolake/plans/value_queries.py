@@ -307,7 +307,7 @@ select crop_id, nm as name from (select crop_id, nm, row_number() over (partitio
  select doc_id, 'MONEY', unnest(regexp_extract_all(text, '(?:[£$€]|\b(?:GBP|USD|EUR)\b)\s?\d[\d,]*(?:\.\d{2})?')) from documents union
  select doc_id, 'DATE', unnest(regexp_extract_all(text, '\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b')) from documents union
  select doc_id, 'CODE', unnest(regexp_extract_all(text, '\b[A-Z0-9]{4}-[A-Z0-9]{2,4}-[A-Z0-9]{3,8}\b')) from documents) group by 1""",
-    "embedding_norms": "select vec_id, 1.0 as length, round(exp(embedding[1]::double) / list_sum(list_transform(embedding, lambda x: exp(x::double))), 6) as first from embeddings",
+    "embedding_norms": "select vec_id, 1.0::double as length, round(exp(embedding[1]::double) / list_sum(list_transform(embedding, lambda x: exp(x::double))), 6) as first from embeddings",
     "mean_pooled": "select label, dim, round(avg(v::double), 6) mean from (select label, unnest(embedding) v, unnest(range(0, len(embedding)))::int dim from embeddings) group by 1, 2",
     "relative_days": """select day::varchar as day, phrase, (case phrase when 'today' then day when 'tomorrow' then day + 1 when 'yesterday' then day - 1 when 'in 3 days' then day + 3 when 'in 2 weeks' then day + 14
  when 'in 1 month' then (day + interval 1 month)::date when '5 days ago' then day - 5 when '2 weeks ago' then day - 14 when 'next week' then day + 7 when 'next month' then (day + interval 1 month)::date

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +65,25 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let local Python workers import this package wherever the driver was started.
+
+    Workers see the working directory, PYTHONPATH and installed packages. When
+    the package lies elsewhere (only the driver's sys.path has it), a local
+    session gets it as a file of the session. On a cluster the package must be
+    installed or on PYTHONPATH, as any library.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(sc, "_foliolake_shipped", False) or not sc.master.startswith("local[") and sc.master != "local":
+        return
+    sc._foliolake_shipped = True
+    if any(p and Path(p).resolve() == root for p in seen) or str(root).startswith(sys.prefix):
+        return
+    path = Path(tempfile.mkdtemp(prefix="foliolake-zip-")) / "foliolake.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in (root / "foliolake").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
