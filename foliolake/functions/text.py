@@ -5,6 +5,7 @@ All functions return null for a null text unless they say otherwise.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -45,13 +46,15 @@ HIT_KEYWORDS = {
 }
 
 
-#: Java's word boundary knows all letters; the original patterns meant ASCII ones.
-ASCII_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-
-
 def ascii_edges(pattern: str) -> str:
-    """The pattern with its word boundaries between ASCII word characters and others."""
-    return pattern.replace(r"\b", ASCII_EDGE)
+    """The pattern with word boundaries between ASCII word characters and others.
+
+    Java's own boundary knows all letters; the original patterns meant ASCII
+    ones. A boundary that opens a pattern, group or alternative looks back,
+    any other looks ahead, so each must stand next to a word character.
+    """
+    opened = re.sub(r"(^(?:\(\?i\))?|[(|]|\?:)\\b", r"\1(?<![0-9A-Za-z_])", pattern)
+    return opened.replace(r"\b", "(?![0-9A-Za-z_])")
 
 
 def norm(text: Column) -> Column:
