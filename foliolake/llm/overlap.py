@@ -209,7 +209,7 @@ def labelled(crops: DataFrame) -> DataFrame:
         "crop_id", page_id(F.col("doc")).alias("doc"), split_name(F.col("split")).alias("split"),
         normal_label(F.col("labels")).alias("text"), "loaded_at",
     )
-    once = newest(rows, [F.col("crop_id")], [F.col("loaded_at").desc_nulls_last(), F.col("text"), F.col("split")])
+    once = newest(rows.where("crop_id is not null"), [F.col("crop_id")], [F.col("loaded_at").desc_nulls_last(), F.col("text"), F.col("split")])
     return once.where(F.col("split").isNotNull() & (F.length("text") >= MIN_CHARS)).drop("loaded_at")
 
 
@@ -234,7 +234,7 @@ def overlaps(crops: DataFrame) -> DataFrame:
     """(crop_a, crop_b, split, doc_a, doc_b, edits), crop_a < crop_b: one crop in
     train, the other in ``split`` (val or test).
 
-    Null labels, labels under 24 letters and digits, and rows without a split
+    Null ids, null labels, labels under 24 letters and digits, and rows without a split
     match nothing; crops delivered twice count once, by their newest row.
     """
     rows = cut(labelled(crops))

@@ -152,7 +152,7 @@ def scan(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, brief: bo
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[i]) for i in wanted], names=names)
 
-    slim = documents.select("doc_id", "text").where(F.length("text") >= length)
+    slim = documents.select("doc_id", "text").where((F.length("text") >= length) & F.col("doc_id").isNotNull())
     return spread(slim).mapInArrow(run, schema)
 
 
@@ -191,7 +191,7 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     occurs in the text of another doc_id.
 
     Offsets count characters from 0, span_end is exclusive. Null, empty and
-    short texts have no spans; repeats inside one text don't count; equal
+    short texts have no spans, nor do texts without an id share any; repeats inside one text don't count; equal
     texts under different ids are shared throughout.
     """
     spread = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most")]

@@ -63,12 +63,12 @@ def split_leaks(crops: DataFrame, links: DataFrame) -> DataFrame:
 def assign_splits(crops: DataFrame, links: DataFrame, targets: DataFrame, big_share: float = 0.002, seed: int = 7) -> DataFrame:
     """(crop_id, doc, kind, split): one split for every crop, whole groups together.
 
-    Crops delivered twice count once. A crop without a page is a group of its
+    Crops delivered twice count once, crops without an id not at all. A crop without a page is a group of its
     own of kind ''. Target shares are normalised to sum to 1; targets that are
     null or negative count as 0. With no crops the result is empty.
     """
     once = newest(
-        crops.select("crop_id", page_id(F.col("doc")).alias("doc"), "loaded_at"),
+        crops.where("crop_id is not null").select("crop_id", page_id(F.col("doc")).alias("doc"), "loaded_at"),
         [F.col("crop_id")],
         [F.col("loaded_at").desc_nulls_last(), F.col("doc")],
     ).select("crop_id", "doc", F.coalesce(page_kind(F.col("doc")), F.lit("")).alias("kind"))

@@ -68,7 +68,7 @@ def test_assign_splits(spark):
         for _ in range(400 if page == 0 else rng.randint(1, 6)):
             rows.append((i, "t", f"{kind}-{page:08d}" if page % 50 else f"{kind.upper()}_{page:08d}.png", "p", None, T0))
             i += 1
-    rows += [(i, "t", None, None, None, T0), (0, "t", rows[0][2], "p", None, T0)]
+    rows += [(i, "t", None, None, None, T0), (None, "t", rows[0][2], "p", None, T0), (0, "t", rows[0][2], "p", None, T0)]
     pages = sorted({r[2].lower().replace("_", "-").replace(".png", "") for r in rows if r[2]})
     links = [(pages[k], pages[k + 1], "k", T0) for k in range(0, 60, 3)]
     crops, ties = spark.createDataFrame(rows, CROPS), spark.createDataFrame(links, LINKS)
@@ -128,7 +128,7 @@ def test_bin_completion_beats_best_fit():
 def test_pack_texts(spark):
     rng = random.Random(4)
     sizes = [rng.choice([0, 1, 99, 100, 101, 250, rng.randint(1, 400)]) for _ in range(500)]
-    z = spark.createDataFrame(list(enumerate(sizes)) + [(9999, None)], "doc_id long, tokens long")
+    z = spark.createDataFrame(list(enumerate(sizes)) + [(9999, None), (None, 50)], "doc_id long, tokens long")
     specs = spark.createDataFrame([("s", 100), ("bad", 0), ("none", None)], "spec string, capacity_tokens int")
     rows = packing.pack_texts(z, specs, group_items=150).collect()
     pieces, fill = {}, {}
@@ -144,3 +144,18 @@ def test_pack_texts(spark):
         assert at == sizes[i] and len(parts) == -(-sizes[i] // 100)
     assert max(fill.values()) <= 100 and len(fill) <= sum(sizes) / 100 + 12
     assert packing.pack_texts(z.limit(0), specs).count() == 0 and packing.pack_texts(z, specs.limit(0)).count() == 0
+
+
+def test_clashing_extra_columns(spark):
+    crops = spark.createDataFrame([(1, "x", "legal-1", "p", "train", T0), (2, "x", "legal-1", "p", "val", T0)], CROPS)
+    extra = {n: F.lit("clash") for n in ("group", "kind", "text", "n", "size", "before", "record", "entity", "s", "source", "tokens", "__b", "flags")}
+    links = spark.createDataFrame([("legal-1", "legal-2", "k", T0)], LINKS).withColumns({n: c for n, c in extra.items()})
+    crops = crops.withColumns(extra)
+    targets = spark.createDataFrame(TARGETS, "split string, share double").withColumns({"group": F.lit(1), "kind": F.lit("z")})
+    assert [r.doc for r in splits.split_leaks(crops, links).collect()] == ["legal-1"]
+    assert splits.assign_splits(crops, links, targets).count() == 2
+    d = spark.createDataFrame([(1, "one two", "a"), (2, "three", "a")], "doc_id long, text string, source string").withColumns({n: F.lit("clash") for n in ("tokens", "unit", "before", "piece", "part", "m", "lo")})
+    z = mixing.sized_texts(d)
+    assert packing.pack_texts(z, spark.createDataFrame([("s", 10, "x")], "spec string, capacity_tokens int, part string")).count() == 2
+    t = spark.createDataFrame([("a", 1.0, 2, "x")], "source string, target_share double, max_repeats int, rate string")
+    assert mixing.mix_sources(z, t).count() == 2

@@ -44,10 +44,11 @@ def test_overlaps_are_complete(spark):
     rows += [(910, long, "d", "train", T0), (911, noisy(rng, long, 80), "d", "test", T0)]
     rows += [(920 + i, "Same label on very many crops 12345", "d", "train" if i % 2 else "val", T0) for i in range(8)]
     rows += [rows[0], (rows[1][0], rows[1][1], "d", rows[1][3], T0)]
+    rows += [(None, "Same label on very many crops 12345", "d", s, T0) for s in ("train", "val")]
     from foliolake.llm.pages import split_name  # noqa: F401  the spellings under test
 
     kind = lambda s: {"train": "train", "val": "held", "test": "held"}.get((s or "").strip().lower())
-    clean = {i: ("".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789"), kind(s)) for i, t, _, s, _ in rows if t is not None}
+    clean = {i: ("".join(c for c in t.lower() if c in "abcdefghijklmnopqrstuvwxyz0123456789"), kind(s)) for i, t, _, s, _ in rows if t is not None and i is not None}
     live = [(i, t, k) for i, (t, k) in clean.items() if len(t) >= 24 and k]
     want = {
         (min(i, j), max(i, j))
@@ -105,9 +106,9 @@ def test_shared_spans(spark):
     letter = lambda n, abc="abcdefgh ": "".join(rng.choice(abc) for _ in range(n))
     passages = [letter(rng.randint(30, 160)) for _ in range(12)] + ["é€𝄞" * 20, "ab" * 60]
     rows = [(i, "".join(rng.choice([letter(rng.randint(0, 60)), rng.choice(passages)]) for _ in range(rng.randint(0, 7)))) for i in range(80)]
-    rows += [(100, rows[3][1] * 2), (101, rows[3][1]), (102, None), (103, ""), (104, "x" * 500), (105, letter(200)), (106, "x" * 45), (107, "y" * 300 + "z")]
+    rows += [(100, rows[3][1] * 2), (101, rows[3][1]), (102, None), (103, ""), (104, "x" * 500), (105, letter(200)), (106, "x" * 45), (None, rows[5][1] * 9), (107, "y" * 300 + "z")]
     df = spark.createDataFrame(rows, DOCS)
-    want = shared_by_force(rows, 40)
+    want = shared_by_force([r for r in rows if r[0] is not None], 40)
     got = [tuple(r) for r in spans.shared_spans(df, 40, 20).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
     report = {r.doc_id: r for r in spans.shared_report(df, spans.shared_spans(df, 40, 20)).collect()}
