@@ -203,7 +203,8 @@ def changes(files: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
 
     Columns: file keys, change_kind (added, removed, renamed, retyped),
     old_field, new_field. A field without non-null values on either side is
-    not retyped. A file whose bodies are all unreadable has no fields.
+    not retyped. A file whose bodies are all unreadable has no fields. Rows
+    without a file name, arm, bench or run number belong to no file.
     """
     # Both are small, one row per file or per field of a file, and used again and again.
     schemas = cut(file_schemas(explode_records(files.select(*FILE, "body")))) if schemas is None else schemas
