@@ -12,7 +12,8 @@ without a reference, by its hyphen or by the vocabulary.
 Correction: words outside the vocabulary get all candidates within one or two
 edits by walking a Levenshtein automaton and the vocabulary trie together, in
 shards of bounded size; neighbouring words, likely confusions and frequency
-rank them.
+rank them. The vocabulary has every alphabetic word of the expected texts,
+however rare, and stays on the executors.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ PAGE_NUMBER = re.compile(
 CUT_MARKS = "-‐‑¬­"
 #: A frame must make up this share of all header lines, so at most 2 / share frames reach the driver.
 FRAME_SHARE = 0.001
-#: A word of the vocabulary must stand on this share of all pages.
-WORD_SHARE = 0.0001
-#: Words per broadcast trie.
+#: Words per trie.
 TRIE_WORDS = 50_000
+#: A token stays as it was read when no candidate scores this much: below, more of the words of held-out pages were spoilt than restored.
+LEAST_SCORE = -2.0
 #: Shapes that recognition confuses, written as pairs (seen, meant).
 CONFUSIONS = (
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("2", "z"), ("7", "t"),
@@ -452,19 +453,56 @@ def learned_frames(pages: DataFrame) -> list[str]:
     return [r.frame for r in counts.where(F.col("n") >= max(3.0, FRAME_SHARE * total / 2)).select("frame").collect() if r.frame != "?"]
 
 
-def _vocabulary(engine: DataFrame, least: int) -> list[list[str]]:
-    """Words found on ``least`` pages and WORD_SHARE of all pages or more, in shards of TRIE_WORDS.
+def asked_words(lines: list[list[str]], longest: int) -> set[str]:
+    """The words of up to ``longest`` characters whose standing in the vocabulary
+    ``read_page`` without a reference, ``reflow`` or ``_suspicious`` may ask for.
 
-    A page has a bounded number of words, so at most that number divided by
-    WORD_SHARE of them can reach the driver, whatever the number of pages.
+    ``lines`` are the blank-separated tokens of the page's own lines. Cut words
+    are rejoined over any number of lines of one token, so every such run counts.
     """
-    pages = engine.where("expected_text is not null").select("doc").distinct().count()
-    kept = word_counts(engine).where(F.col("n") >= max(least, WORD_SHARE * pages)).select("word")
-    rows = sorted(r.word for r in kept.toLocalIterator())
-    return [rows[i : i + TRIE_WORDS] for i in range(0, len(rows), TRIE_WORDS)] or [[]]
+    asked: set[str] = set()
+    for n, parts in enumerate(lines):
+        for t in parts:
+            w = words_of(t)
+            asked.update(w)
+            asked.add("".join(w))
+        tail = parts[0]
+        first = words_of(tail)[:1]
+        for k in range(n - 1, -1, -1):
+            last = lines[k][-1]
+            if k == n - 1 and first:
+                asked.update((last.lower(), first[0], last.lower() + first[0]))
+            tail = last.rstrip(CUT_MARKS) + tail
+            w = words_of(tail)
+            asked.update(w)
+            asked.add("".join(w))
+            if len(lines[k]) > 1 or sum(map(len, w)) > longest:
+                break
+    return {w for w in asked if 0 < len(w) <= longest}
+
+
+def with_known(pages: DataFrame, words: DataFrame, frames) -> DataFrame:
+    """``pages`` with ``known``: the words of each page that the vocabulary ``words`` has.
+
+    ``frames`` is the broadcast of the headers' frames.
+    """
+    longest = words.agg(F.max(F.length("word"))).first()[0] or 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, asked = [], []
+            for rid, text in zip(*(c.to_pylist() for c in batch.columns)):
+                page = read_page(text, None, frames.value, frozenset())
+                ids.append(rid)
+                asked.append(sorted(asked_words([page["lines"][i].split() for i in page["own"]], longest)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(asked, type=pa.list_(pa.string()))], names=["record_id", "asked"])
+
+    asked = pages.select("record_id", "ocr_text").mapInArrow(run, "record_id long, asked array<string>").select("record_id", F.explode("asked").alias("word"))
+    known = asked.join(words.select("word"), "word", "left_semi").groupBy(F.col("record_id").alias("of")).agg(F.collect_list("word").alias("known"))
+    return pages.join(known, F.col("record_id").eqNullSafe(F.col("of")), "left").drop("of")
 
 
-def page_lines(engine: DataFrame, least_pages: int = 3) -> DataFrame:
+def page_lines(engine: DataFrame) -> DataFrame:
     """(record_id, line_no, kind): furniture, cut words and misread lines of every reading.
 
     kind is header, page_no, break or misread, one row each. line_no counts
@@ -475,14 +513,13 @@ def page_lines(engine: DataFrame, least_pages: int = 3) -> DataFrame:
     pages = cut(readings(engine))
     spark = engine.sparkSession
     frames = spark.sparkContext.broadcast(frozenset(learned_frames(pages)))
-    shards = _vocabulary(engine, least_pages)
-    words = spark.sparkContext.broadcast(frozenset(w for s in shards for w in s))
+    unread = with_known(pages.where("reference is null"), cut(word_counts(engine)), frames)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, numbers, kinds = [], [], []
-            for rid, text, expected, ref in zip(*(c.to_pylist() for c in batch.columns)):
-                page = read_page(text, ref, frames.value, words.value)
+            for rid, text, expected, ref, known in zip(*(c.to_pylist() for c in batch.columns)):
+                page = read_page(text, ref, frames.value, frozenset(known or ()))
                 found = [(i, k) for i, k in enumerate(page["kinds"]) if k in ("header", "page_no")]
                 found += [(i, "break") for i in page["breaks"]]
                 if expected is not None:
@@ -496,7 +533,8 @@ def page_lines(engine: DataFrame, least_pages: int = 3) -> DataFrame:
                 names=["record_id", "line_no", "kind"],
             )
 
-    return pages.select("record_id", "ocr_text", "expected_text", "reference").mapInArrow(run, "record_id long, line_no int, kind string")
+    read = pages.where("reference is not null").withColumn("known", F.lit(None).cast("array<string>")).unionByName(unread)
+    return read.select("record_id", "ocr_text", "expected_text", "reference", "known").mapInArrow(run, "record_id long, line_no int, kind string")
 
 
 def _confusion_cost(seen: str, meant: str) -> float:
@@ -506,36 +544,48 @@ def _confusion_cost(seen: str, meant: str) -> float:
     return 1.0
 
 
-def candidates(tokens: DataFrame, shards: list[list[str]]) -> DataFrame:
-    """(token, candidate, cost) of distinct ``token`` against every trie shard.
+def candidates(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, candidate, cost) of distinct ``token`` against every ``word`` of ``words``.
 
     Complete within one edit, two from six characters on; the token itself
-    is never among its candidates.
+    is never among its candidates. The words are dealt into shards by hash, the
+    tokens into slices; a task gets one shard, builds its trie and walks one
+    slice's tokens against it as they come.
     """
-    spark = tokens.sparkSession
-    # Little data but much work per row: keep the tasks that size alone would merge.
-    distinct = tokens.select("token").distinct().repartition(parallelism(spark))
-    found = None
-    for words in shards:
-        shared = spark.sparkContext.broadcast(words)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            trie = build_trie(shared.value)
-            for batch in batches:
-                rows = []
-                for t in batch.column(0).to_pylist():
-                    for w, d in within(trie, t, 1 if len(t) < 6 else 2):
-                        if w != t:
-                            rows.append((t, w, min(float(d), _confusion_cost(t, w)) if len(t) == len(w) else float(d)))
-                cols = list(zip(*rows)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], type=pa.string()), pa.array(cols[1], type=pa.string()), pa.array(cols[2], type=pa.float64())],
-                    names=["token", "candidate", "cost"],
-                )
-
-        part = distinct.mapInArrow(run, "token string, candidate string, cost double")
-        found = part if found is None else found.unionByName(part)
-    return found
+    # Little data but much work per row: as many tasks as cores, whatever the size.
+    tasks = parallelism(tokens.sparkSession)
+    shards = max(1, -(-words.count() // TRIE_WORDS))
+    slices = max(1, -(-tasks // shards))
+    dealt = lambda df, own, n, other, m, step: df.select(
+        F.pmod(F.xxhash64("text"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.lit(step).alias("step"), "text"
+    ).select((F.col("shard") * slices + F.col("slice")).alias("part"), "step", "text")
+    both = dealt(words.select(F.col("word").alias("text")), "shard", shards, "slice", slices, 0).unionByName(
+        dealt(tokens.select(F.col("token").alias("text")).distinct(), "slice", slices, "shard", shards, 1)
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, own, trie = None, [], None
+        for batch in batches:
+            rows = []
+            for p, step, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if p != part:
+                    part, own, trie = p, [], None
+                if step == 0:
+                    own.append(t)
+                    continue
+                if trie is None:
+                    trie = build_trie(own)
+                for w, d in within(trie, t, 1 if len(t) < 6 else 2):
+                    if w != t:
+                        rows.append((t, w, min(float(d), _confusion_cost(t, w)) if len(t) == len(w) else float(d)))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], type=pa.string()), pa.array(cols[1], type=pa.string()), pa.array(cols[2], type=pa.float64())],
+                names=["token", "candidate", "cost"],
+            )
+
+    placed = both.repartitionById(shards * slices, "part").sortWithinPartitions("part", "step")
+    return placed.mapInArrow(run, "token string, candidate string, cost double")
 
 
 def _suspicious(token: str, words) -> str:
@@ -549,7 +599,7 @@ def _suspicious(token: str, words) -> str:
     return core
 
 
-def repaired_texts(engine: DataFrame, least_pages: int = 3) -> DataFrame:
+def repaired_texts(engine: DataFrame) -> DataFrame:
     """(record_id, doc, repaired_text): continuous text of every reading, without page furniture.
 
     Uses no reference: frames and vocabulary come from the corpus, as they
@@ -558,35 +608,36 @@ def repaired_texts(engine: DataFrame, least_pages: int = 3) -> DataFrame:
     pages = cut(readings(engine))
     spark = engine.sparkSession
     frames = spark.sparkContext.broadcast(frozenset(learned_frames(pages)))
-    shards = _vocabulary(engine, least_pages)
-    vocabulary = spark.sparkContext.broadcast(frozenset(w for s in shards for w in s))
+    words = cut(word_counts(engine))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, all_tokens, cores = [], [], []
-            for rid, text in zip(*(c.to_pylist() for c in batch.columns)):
-                flow = reflow(read_page(text, None, frames.value, vocabulary.value), vocabulary.value)
+            for rid, text, known in zip(*(c.to_pylist() for c in batch.columns)):
+                vocabulary = frozenset(known or ())
+                flow = reflow(read_page(text, None, frames.value, vocabulary), vocabulary)
                 ids.append(rid)
                 all_tokens.append(flow)
-                cores.append([_suspicious(t, vocabulary.value) for t in flow])
+                cores.append([_suspicious(t, vocabulary) for t in flow])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, type=pa.int64()), pa.array(all_tokens, type=pa.list_(pa.string())), pa.array(cores, type=pa.list_(pa.string()))],
                 names=["record_id", "tokens", "cores"],
             )
 
-    flows = cut(pages.select("record_id", "ocr_text").mapInArrow(tokens, "record_id long, tokens array<string>, cores array<string>"))
+    read = with_known(pages.select("record_id", "ocr_text"), words, frames)
+    flows = cut(read.mapInArrow(tokens, "record_id long, tokens array<string>, cores array<string>"))
     plain = F.transform("tokens", lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]", ""))
     at = (
         flows.select("record_id", plain.alias("w"), F.posexplode("cores").alias("i", "token"))
         .where("token <> ''")
         .select("record_id", "i", "token", F.get("w", F.col("i") - 1).alias("before"), F.get("w", F.col("i") + 1).alias("after"))
     )
-    options = candidates(at, shards)
+    options = candidates(at, words)
     texts = engine.where("expected_text is not null").groupBy("doc").agg(F.max("expected_text").alias("t"))
     seq = texts.select(F.transform(F.split("t", r"\s+"), lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]", "")).alias("w"))
     grams = seq.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))).alias("g"))
     pairs = grams.select("g.*").where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
-    counts = word_counts(engine).withColumnRenamed("word", "candidate").withColumnRenamed("n", "freq")
+    counts = words.withColumnRenamed("word", "candidate").withColumnRenamed("n", "freq")
     ranked = (
         at.join(options, "token")
         .join(counts, "candidate", "left")
@@ -600,7 +651,7 @@ def repaired_texts(engine: DataFrame, least_pages: int = 3) -> DataFrame:
         - 4 * F.col("cost")
     )
     w = Window.partitionBy("record_id", "i").orderBy(F.desc("score"), "candidate")
-    best = ranked.withColumn("score", score).withColumn("r", F.row_number().over(w)).where("r = 1")
+    best = ranked.withColumn("score", score).where(F.col("score") >= LEAST_SCORE).withColumn("r", F.row_number().over(w)).where("r = 1")
     fixes = best.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "candidate"))).alias("fix"))
 
     @F.udf("string")
