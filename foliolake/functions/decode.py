@@ -90,19 +90,27 @@ def beam_decode(log_probs: np.ndarray, beam: int = 4, score: Callable[[str, str]
 
     ``score(prefix, char)`` adds ``alpha`` times a language model's log
     probability when a prefix grows; equal scores keep the older prefix.
+    Without one, only a row's best classes, a prefix's last character and the
+    prefixes already held can survive a step, so no others are grown.
     """
     beams: dict[str, tuple[float, float]] = {"": (0.0, _FLOOR)}
-    for row in np.asarray(log_probs, dtype=float):
+    for row in np.asarray(log_probs, dtype=float).tolist():
         grown: dict[str, tuple[float, float]] = {}
 
         def put(prefix: str, blank: float, char: float) -> None:
             b, c = grown.get(prefix, (_FLOOR, _FLOOR))
             grown[prefix] = (_add(b, blank), _add(c, char))
 
+        classes = range(1, len(row))
+        best = set(classes) if score else set(sorted(classes, key=lambda k: -row[k])[: beam + 1])
+        held = {p[:-1]: set() for p in beams if p}
+        for p in beams:
+            if p:
+                held[p[:-1]].add(CHARSET.index(p[-1]) + 1)
         for prefix, (b, c) in beams.items():
             put(prefix, _add(b, c) + row[BLANK], _FLOOR)
-            for k in range(1, len(row)):
-                if row[k] <= _FLOOR or np.isinf(row[k]):
+            for k in sorted(best | held.get(prefix, set()) | ({CHARSET.index(prefix[-1]) + 1} if prefix else set())):
+                if row[k] <= _FLOOR or math.isinf(row[k]):
                     continue
                 ch = CHARSET[k - 1]
                 bonus = alpha * score(prefix, ch) if score else 0.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliolake.functions import decode, text, validate
 from foliolake.operators import fields, lexicon, policy, speech
 from foliolake.operators.current import newest
+from foliolake.session import parallelism
 from foliolake.tables import table
 
 
@@ -195,8 +196,11 @@ def _step_scores(classes):
 
 
 def ctc_beam(spark, sf_dir):
-    c = _tokens(spark, sf_dir).select("crop_id", decode.encode(text.clean_to_charset(F.substring("labels", 1, 12))).alias("codes"))
-    return decode.beam_rows(c.select("crop_id", _step_scores(F.col("codes")).alias("scores")), "crop_id", "scores", 3)
+    """Beam decoding of whole labels, each distinct text once."""
+    c = _tokens(spark, sf_dir).select("crop_id", text.clean_to_charset(F.col("labels")).alias("t"))
+    scores = _step_scores(decode.encode(F.col("t"))).alias("scores")
+    texts = c.select("t").distinct().repartition(parallelism(spark)).select("t", scores)
+    return c.join(decode.beam_rows(texts, "t", "scores", 3), "t", "left").select("crop_id", "decoded")
 
 
 def embedding_norms(spark, sf_dir):
