@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +45,37 @@ def grid_components(cells: DataFrame, key: str, row: str = "row", column: str =
     members = live.select(at(r, c).alias("record"), F.explode(ties).alias("entity"))
     found = components(members)
     return live.withColumn("record", at(r, c)).join(found, "record").select(key, row, column, F.col("group").alias("component"))
+
+
+def regions_of(grid: list[list[int | None] | None]) -> tuple[int, int]:
+    """(regions, cells): dark cells of a grid (bytes below 128) and their groups that touch side to side."""
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def root(x: tuple[int, int]) -> tuple[int, int]:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for r, line in enumerate(grid):
+        for c, v in enumerate(line or ()):
+            if v is not None and v % 256 < 128:
+                up[r, c] = (r, c)
+                for near in ((r - 1, c), (r, c - 1)):
+                    if near in up:
+                        up[root((r, c))] = root(near)
+    return sum(k == v for k, v in up.items()), len(up)
+
+
+def grid_regions(crops: DataFrame, key: str, grid: str) -> DataFrame:
+    """(key, regions, cells) of every row whose grid has a dark cell. A grid is
+    labelled inside its own row, so nothing is shuffled; the key becomes a string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *regions_of(g)) for k, g in zip(*(c.to_pylist() for c in batch.columns)) if g is not None]
+            cols = list(zip(*(x for x in rows if x[2]))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], type=pa.string()), pa.array(cols[1], type=pa.int64()), pa.array(cols[2], type=pa.int64())], names=[key, "regions", "cells"]
+            )
+
+    return crops.select(F.col(key).cast("string").alias(key), grid).mapInArrow(run, f"{key} string, regions long, cells long")

@@ -143,12 +143,9 @@ def spoken_numbers(spark, sf_dir):
 
 
 def ink_components(spark, sf_dir):
-    """Dark regions of the crops of the page ids' first lines."""
-    c = _crops(spark, sf_dir).where("crop is not null and line_index = 0")
-    cells = c.select("crop_id", F.posexplode("crop").alias("row", "line")).select("crop_id", "row", F.posexplode("line").alias("col", "v"))
-    dark = cells.where(F.pmod(F.col("v").cast("int"), F.lit(256)) < 128)
-    found = graph.grid_components(dark.withColumn("crop_id", F.col("crop_id").cast("string")), "crop_id")
-    return found.groupBy("crop_id").agg(F.countDistinct("component").alias("regions"), F.count("*").alias("cells"))
+    """Dark regions of every crop."""
+    c = _crops(spark, sf_dir).where("crop is not null and crop_id is not null")
+    return graph.grid_regions(c, "crop_id", "crop")
 
 
 def lexicon_sets(spark, sf_dir):

@@ -34,6 +34,11 @@ def test_ctc_beam_decodes_whole_labels(spark, crops):
     assert got == {1: "AN UNUSUALY LONG LABEL WITH 40 CHARACTERS", 2: "AN UNUSUALY LONG LABEL WITH 40 CHARACTERS", 3: "", 5: "AXB"}
 
 
+def test_ink_components_of_every_crop(spark, crops):
+    got = sorted(tuple(r) for r in entry.queries()["ink_components"](spark, crops).collect())
+    assert got == [("1", 1, 1), ("2", 3, 5), ("3", 2, 2)]
+
+
 def test_beam_equals_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(60):
