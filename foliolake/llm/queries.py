@@ -39,6 +39,14 @@ def p3_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.record_coverage(table(spark, sf_dir, "crops"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_classes(table(spark, sf_dir, "crops"))
+
+
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_links(table(spark, sf_dir, "crops"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.page_lines(table(spark, sf_dir, "pipeline_raw_engine"))
 
@@ -77,7 +85,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p2_found, p2_splits, p2_report, p3_found, p3_report, p3_coverage, p4_found, p4_repaired,
+        p2_found, p2_splits, p2_report, p3_found, p3_report, p3_coverage, p3_classes, p3_links, p4_found, p4_repaired,
         p6_packed, p6_fill, p7_copies, p7_shares, p8_found, p8_shared,
     )
 }

@@ -8,6 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from foliolake.llm import overlap, repair, spans
 
 T0 = datetime(2025, 1, 1)
@@ -42,6 +44,12 @@ def test_overlaps_are_complete(spark):
     rows += [(900, None, "d-1", "train", T0), (901, "short", "d-1", "val", T0), (902, "SHORT", "d-1", "train", T0), (903, "é" * 40, "d-2", "val", T0)]
     long = "".join(rng.choice("abcdefghij") for _ in range(900))
     rows += [(910, long, "d", "train", T0), (911, noisy(rng, long, 80), "d", "test", T0)]
+    for i in range(12):  # texts of several segments, and all lengths with few windows
+        base = "".join(rng.choice("abc") for _ in range(rng.choice([125, 180, 241, 300])))
+        rows += [(1000 + 2 * i, base, "d", "train", T0), (1001 + 2 * i, noisy(rng, base, rng.randint(5, 32)), "d", "val", T0)]
+    for i in range(120):
+        base = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(24, 36)))
+        rows += [(2000 + 2 * i, base, "d", "train" if i % 2 else "val", T0), (2001 + 2 * i, noisy(rng, base, rng.randint(1, 4)), "d", "test" if i % 2 else "train", T0)]
     rows += [(920 + i, "Same label on very many crops 12345", "d", "train" if i % 2 else "val", T0) for i in range(8)]
     rows += [rows[0], (rows[1][0], rows[1][1], "d", rows[1][3], T0)]
     rows += [(None, "Same label on very many crops 12345", "d", s, T0) for s in ("train", "val")]
@@ -61,16 +69,59 @@ def test_overlaps_are_complete(spark):
     report = overlap.overlap_report(df).collect()
     assert sum(r.n_pairs for r in report) == len(want)
     cover = overlap.record_coverage(df).collect()
-    assert sum(r.n_pairs for r in cover) == len(want) and all((r.coverage >= 0.9) == (r.n_pairs > 0) for r in cover)
-    assert overlap.overlaps(df.limit(0)).count() == 0
+    assert sum(r.n_pairs for r in cover) == len(want) and all((r.coverage >= 0.8) == (r.n_pairs > 0) for r in cover)
+    classes = {r.crop_id: r for r in overlap.overlap_classes(df).collect()}
+    assert set(classes) == {i for i, _, _ in live} and sum(r.n_links for r in classes.values()) == 2 * len(want)
+    links = {(r.train_class, r.held_class) for r in overlap.overlap_links(df).collect()}
+    text = {i: t for i, t, _ in live}
+    side = {i: k for i, _, k in live}
+    assert all(text[r.class_id] == text[i] and r.class_id <= i for i, r in classes.items())
+    assert links == {(classes[t].class_id, classes[h].class_id) for p in want for t, h in (p, p[::-1]) if side[t] == "train" and side[h] == "held"}
+    assert overlap.overlaps(df.limit(0)).count() == 0 and overlap.overlap_classes(df.limit(0)).count() == 0
+
+
+def test_hot_texts_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HOT_CROPS", 7)
+    monkeypatch.setattr(overlap, "HOT", 3)
+    rows = [(i, "the very same label on many crops" + ("x" if i % 5 == 0 else ""), "d-1", "train" if i % 3 else "val", T0) for i in range(90)]
+    df = spark.createDataFrame(rows, CROPS)
+    want = {(min(i, j), max(i, j)) for i in range(90) if i % 3 for j in range(90) if j % 3 == 0}
+    got = [(r.crop_a, r.crop_b) for r in overlap.overlaps(df).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sum(r.n_links for r in overlap.overlap_classes(df).collect()) == 2 * len(want)
+    assert sum(r.n_pairs for r in overlap.record_coverage(df).collect()) == len(want)
+
+
+def test_chain_cost(spark):
+    def price(seeds, a, b):
+        df = spark.createDataFrame([(sorted(seeds),)], "seeds array<struct<win:int,at:int,shift:int>>")
+        return df.select(overlap.chain_cost(F.col("seeds"), F.lit(overlap.most_edits(np.array([a])).item() + 1), F.lit(a - b))).first()[0]
+
+    # 40 characters allow 4 edits, so there are 5 windows.
+    assert price([(2, 16, 0)], 40, 40) == 4
+    assert price([(w, 8 * w, 0) for w in range(5)], 40, 40) == 0
+    assert price([(0, 0, 0), (4, 33, -1)], 40, 41) == 3
+    assert price([(0, 30, -30), (4, 0, 32)], 40, 40) > 4
+
+
+def test_kept_stretches():
+    assert overlap.kept_stretches("abcdef", "abXdef", 1) == [(0, 2), (3, 6)]
+    assert overlap.kept_stretches("abcdef", "abcdef", 0) == [(0, 6)]
+    rng = random.Random(1)
+    for _ in range(200):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(5, 30)))
+        b = noisy(rng, a, rng.randint(0, 4)) or "a"
+        d = distance(a, b)
+        kept = sum(y - x for x, y in overlap.kept_stretches(a, b, d))
+        assert kept >= len(b) - d
 
 
 def test_disjoint_choice_is_least():
     rng = np.random.default_rng(3)
     cost = rng.integers(0, 50, size=(40, 18))
-    picked = overlap.choose_disjoint(cost, 3)
+    picked = overlap.choose_disjoint(cost, 3, 7)
     for row, at in zip(cost, picked):
-        assert all(b - a >= overlap.GRAM for a, b in zip(at, at[1:]))
+        assert all(b - a >= 7 for a, b in zip(at, at[1:]))
         best = min(row[a] + row[b] + row[c] for a in range(18) for b in range(a + 7, 18) for c in range(b + 7, 18))
         assert row[at].sum() == best
 
