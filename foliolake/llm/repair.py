@@ -1,41 +1,40 @@
 """Repairing text recognised from scanned pages.
 
-Layout: a line is page furniture when it is nothing but a page number, or when
-it is a running header or footer. Headers stand at page edges or come again on
-other pages of the reading; where the page's own text is known (its own
-``expected_text`` or that of another reading of the same page) they don't
-belong to it, elsewhere they show a frame (first or last two words) that the
-headers of the corpus have. The remaining lines are the page's text; a word cut
-at a line end is rejoined when the reference has both ends in one word, or,
-without a reference, by its hyphen or by the vocabulary.
+Layout (``layout.py``): a line is page furniture when it is nothing but a page
+number, or when it is a running header or footer. Headers stand at page edges or
+come again on other pages of the reading; where the page's own text is known
+(its own ``expected_text`` or that of another reading of the same page) they
+don't belong to it, elsewhere they show a frame (first or last two words) that
+headers of other pages have. The remaining lines are the page's text.
 
 Correction: words outside the vocabulary get all candidates within one or two
-edits by walking a Levenshtein automaton and the vocabulary trie together, in
-shards of bounded size; neighbouring words, likely confusions and frequency
-rank them. The vocabulary has every alphabetic word of the expected texts,
-however rare, and stays on the executors.
+edits by walking a Levenshtein automaton and the vocabulary trie together
+(``tries.py``), in shards of bounded size; neighbouring words, likely
+confusions and frequency rank them. Where the page's text is known it is the
+vocabulary and the context: the candidate due in a word's place tells whether
+the word is misread or cut. Elsewhere the vocabulary has every alphabetic word
+of the expected texts, however rare. Frames and vocabulary stay on the
+executors.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolake.llm.layout import CUT_MARKS, PAGE_NUMBER, frames_of, read_page, reference_of, reflow, words_of
+from foliolake.llm.tries import build_trie, within
 from foliolake.operators.current import newest
 from foliolake.session import cut, parallelism
 
-PAGE_NUMBER = re.compile(
-    r"\s*(?:(?:page|sheet|p\.|pg\.?|seite|blatt)\s*\d{1,4}(?:\s*(?:of|/|von)\s*\d{1,4})?|[-–*\[(]\s*\d{1,4}\s*[-–*\])]|\d{1,4}\s*/\s*\d{1,4}|\d{1,3})\s*",
-    re.IGNORECASE,
-)
-CUT_MARKS = "-‐‑¬­"
-#: A frame must make up this share of all header lines, so at most 2 / share frames reach the driver.
-FRAME_SHARE = 0.001
+#: Headers with one frame must stand on this many pages (``doc``) for lines of other pages to count as headers by it.
+LEAST_PAGES = 3
+#: One frame or word may stand on very many readings; its rows are spread over so many join keys.
+SALTS = 16
 #: Words per trie.
 TRIE_WORDS = 50_000
 #: A token stays as it was read when no candidate scores this much: below, more of the words of held-out pages were spoilt than restored.
@@ -48,409 +47,101 @@ CONFUSIONS = (
 )
 
 
-def words_of(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+def readings(engine: DataFrame) -> DataFrame:
+    """(record_id, doc, ocr_text, expected_text, reference): readings with text, once each.
 
+    ``reference`` is the reading's own expected text or else that of any
+    other reading of the same page.
+    """
+    slim = engine.select("record_id", "doc", "ocr_text", "expected_text", "loaded_at")
+    once = newest(slim, [F.col("record_id")], [F.col("loaded_at").desc_nulls_last(), F.col("ocr_text")])
+    known = engine.where("expected_text is not null and doc is not null").groupBy("doc").agg(F.max("expected_text").alias("other"))
+    # Merged, so that the readings of a page lie together; the texts are never broadcast.
+    joined = once.where("ocr_text is not null").hint("merge").join(known, "doc", "left")
+    return joined.select("record_id", "doc", "ocr_text", "expected_text", F.coalesce("expected_text", "other").alias("reference"))
 
-def alike(a: str, b: str) -> bool:
-    """Equal up to a fifth of the characters: shared 3-grams decide."""
-    if a == b:
-        return True
-    if not a or not b or abs(len(a) - len(b)) > max(len(a), len(b)) // 4 + 1:
-        return False
-    x, y = {a[i : i + 3] for i in range(len(a) - 2)}, {b[i : i + 3] for i in range(len(b) - 2)}
-    return bool(x and y) and len(x & y) >= 0.5 * max(len(x), len(y))
 
+def word_counts(engine: DataFrame) -> DataFrame:
+    """(word, n): in how many pages' expected texts each alphabetic word stands."""
+    texts = engine.where("expected_text is not null").groupBy("doc").agg(F.max("expected_text").alias("t"))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"))).alias("word"))
+    return words.where(F.col("word").rlike(r"^\p{L}{2,}$")).groupBy("word").agg(F.count("*").alias("n"))
 
-def bare(line: str) -> str:
-    """Letters and digits of a line without a trailing number."""
-    return "".join(words_of(re.sub(r"\s+\d{1,4}\s*$", "", line)))
 
+FIRST = "record_id long, doc string, done boolean, rows array<struct<line_no:int,kind:string>>, heads array<string>, open array<string>"
 
-def frames_of(line: str) -> list[str]:
-    w = words_of(re.sub(r"\s+\d{1,4}\s*$", "", line))
-    if len(w) < 2:
-        return []
-    return ["^" + " ".join(w[:2]), " ".join(w[-2:]) + "$"]
 
+def first_reading(pages: DataFrame) -> DataFrame:
+    """(record_id, doc, done, rows, heads, open): what each page tells by itself.
 
-def shingles(text: str, k: int = 5) -> set[str]:
-    s = "".join(words_of(text))
-    return {s[i : i + k] for i in range(max(1, len(s) - k + 1))}
+    ``rows`` has the lines found; ``heads`` the frames of its headers; ``open``
+    those of lines that would be headers if one of their frames were known. A
+    page with its text and without open lines is done.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done, rows, heads, still = [], [], [], []
+            for text, expected, ref in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                page = read_page(text, reference_of(ref) if ref else None, frozenset(), frozenset())
+                lines = page["lines"]
+                heads.append(sorted({f for x, k in zip(lines, page["kinds"]) if k == "header" for f in frames_of(x)}))
+                still.append(sorted({f for i in page["open"] for f in frames_of(lines[i])}))
+                done.append(bool(ref) and not still[-1])
+                rows.append(found_lines(page, expected is not None) if done[-1] else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(done, type=pa.bool_()), line_array(rows), pa.array(heads, type=pa.list_(pa.string())), pa.array(still, type=pa.list_(pa.string()))],
+                names=["record_id", "doc", "done", "rows", "heads", "open"],
+            )
 
-def furniture(lines: list[str], reference: set[str] | None, frames: frozenset[str]) -> list[str]:
-    """'page_no', 'header', 'blank' or 'text' for each line.
+    return pages.select("record_id", "doc", "ocr_text", "expected_text", "reference").mapInArrow(run, FIRST)
 
-    ``reference`` has the 5-letter shingles of the page's own text, if known.
-    """
-    kinds = ["blank" if not x.strip() else "page_no" if PAGE_NUMBER.fullmatch(x) else "" for x in lines]
-    at = [i for i, k in enumerate(kinds) if k == ""]
-    keys = {i: bare(lines[i]) for i in at}
-    solid = [i for i, k in enumerate(kinds) if k != "blank"]
-    edge = set()
-    for n, i in enumerate(solid):
-        near = (solid[n - 1] if n else None, solid[n + 1] if n + 1 < len(solid) else None)
-        if any(j is None or kinds[j] == "page_no" for j in near):
-            edge.add(i)
-    own: dict[int, float] = {}
-    triples = {x[i : i + 3] for x in reference or () for i in range(3)}
-    for i in at:
-        if reference:
-            w = shingles(lines[i])
-            own[i] = sum(x in reference for x in w) / len(w)
-    known = {i for i in at if any(f in frames for f in frames_of(lines[i]))}
-    # Without a reference only lines with a known frame can be headers.
-    suspects = [i for i in at if own[i] < 0.5] if reference else sorted(known)
-    repeated = set()
-    for n, i in enumerate(suspects):
-        if len(keys[i]) >= 6:
-            for j in suspects[n + 1 :]:
-                if (i not in repeated or j not in repeated) and alike(keys[i], keys[j]):
-                    repeated.update((i, j))
-    changed = True
-    header: set[int] = set()
-    while changed:  # a header found at an edge makes its neighbour an edge line
-        changed = False
-        for i in suspects:
-            if i in header:
-                continue
-            if reference:
-                yes = i in edge and own[i] < 0.35 and sum(x in triples for x in shingles(lines[i], 3)) < 0.6 * len(shingles(lines[i], 3))
-                yes = yes or own[i] < 0.35 and (i in repeated or i in known) or i in repeated and (i in edge or i in known)
-                yes = yes and (len(words_of(lines[i])) > 1 or i in repeated)
-            else:
-                yes = i in known and (i in edge or i in repeated)
-            if yes:
-                header.add(i)
-                changed = True
-                for n, s in enumerate(solid):
-                    if s == i:
-                        edge.update(solid[max(0, n - 1) : n + 2])
-    return [k or ("header" if i in header else "text") for i, k in enumerate(kinds)]
-
-
-def align(s: str, e: str, look: int = 24, sure: int = 6) -> tuple[list[int], list[tuple[int, int, int, int]]]:
-    """Map of each position of ``s`` into ``e``, and the edited regions (s0, s1, e0, e1).
-
-    Runs of equal characters with the nearest resynchronisation after each
-    difference, so the cost follows the length plus the number of edits.
-    """
-    where = [0] * len(s)
-    regions = []
-    i = j = 0
-    n, m = len(s), len(e)
-    while i < n and j < m:
-        if s[i] == e[j]:
-            where[i] = j
-            i += 1
-            j += 1
-            continue
-        found = None
-        for t in range(1, 2 * look + 1):
-            for a in sorted(range(max(0, t - look), min(t, look) + 1), key=lambda a: abs(2 * a - t)):
-                b = t - a
-                x, y = s[i + a : i + a + sure], e[j + b : j + b + sure]
-                if x and x == y or (i + a == n and j + b == m):
-                    found = (a, b)
-                    break
-            if found:
-                break
-        if not found:
-            near = 4000  # the least distance wins, as templates repeat further on
-            for a in range(min(n - i, 600)):
-                if a >= near:
-                    break
-                piece = s[i + a : i + a + 2 * sure]
-                b = e.find(piece, j, j + near - a + 2 * sure) if len(piece) == 2 * sure else -1
-                if b >= 0 and a + b - j < near:
-                    near = a + b - j
-                    found = (a, b - j)
-        a, b = found or (n - i, m - j)
-        regions.append((i, i + a, j, j + b))
-        for x in range(a):
-            where[i + x] = min(j + min(x, max(b - 1, 0)), m - 1)
-        i += a
-        j += b
-    if i < n or j < m:
-        regions.append((i, n, j, m))
-        for x in range(i, n):
-            where[x] = m - 1
-    return where, regions
-
-
-def flat(text: str) -> tuple[str, list[int]]:
-    """Lower-case letters and digits of ``text``, and the blank-separated word of each."""
-    chars, word = [], []
-    for w, token in enumerate(text.split()):
-        for c in token.lower():
-            if c.isalnum():
-                chars.append(c)
-                word.append(w)
-    return "".join(chars), word
-
-
-def read_page(text: str, reference: str | None, frames: frozenset[str], vocabulary: frozenset[str] | set[str]) -> dict:
-    """Lines with their kinds, the lines whose last word is cut, and those that differ from the reference."""
-    lines = [x.rstrip("\r") for x in text.split("\n")]
-    ref_words = None
-    if reference:
-        ref_words = shingles(reference)
-    kinds = furniture(lines, ref_words, frames)
-    own = [i for i, k in enumerate(kinds) if k == "text"]
-    breaks: set[int] = set()
-    wrong: set[int] = set()
-    meant: dict[int, set[str]] = {}
-    if reference and own:
-        e, e_word = flat(reference)
-        s_parts, s_line = [], []
-        for i in own:
-            part = flat(lines[i])[0]
-            s_parts.append(part)
-            s_line.extend([i] * len(part))
-        s = "".join(s_parts)
-        where, regions = align(s, e) if e else ([0] * len(s), [])
-        for s0, s1, e0, e1 in regions:
-            if s1 > s0:
-                same = s1 - s0 == e1 - e0
-                wrong.update(s_line[x] for x in range(s0, s1) if not same or s[x] != e[e0 + x - s0])
-            elif e0 < len(e):
-                back = s0 > 0 and e0 > 0 and e_word[e0 - 1] == e_word[e0]
-                ahead = s0 < len(s) and e1 < len(e) and e_word[e1] == e_word[e1 - 1]
-                if back or (not ahead and s0 > 0):
-                    wrong.add(s_line[s0 - 1])
-                elif s0 < len(s):
-                    wrong.add(s_line[s0])
-        if e and wrong:
-            ref_tokens = reference.split()
-            for x, i in enumerate(s_line):
-                if i in wrong:
-                    meant.setdefault(i, set()).add(e_word[where[x]])
-            meant = {i: {w for t in v for w in words_of(ref_tokens[t])} for i, v in meant.items()}
-        if e:
-            at = 0
-            for n, part in enumerate(s_parts[:-1]):
-                at += len(part)
-                if 0 < at < len(s) and part and e_word[where[at - 1]] == e_word[where[at]] and where[at] > where[at - 1]:
-                    breaks.add(own[n])
-    else:
-        for i, k in zip(own, own[1:]):
-            last, nxt = lines[i].split()[-1:], lines[k].split()[:1]
-            if not last or not nxt or not nxt[0][0].isalnum():
-                continue
-            stem = last[0].rstrip(CUT_MARKS)
-            if stem and stem != last[0] and stem[-1].isalnum():
-                breaks.add(i)
-            elif last[0].isalpha() and words_of(nxt[0]):
-                a, b = last[0].lower(), words_of(nxt[0])[0]
-                if a + b in vocabulary and (a not in vocabulary or b not in vocabulary):
-                    breaks.add(i)
-    return {"lines": lines, "kinds": kinds, "own": own, "breaks": breaks, "wrong": wrong, "meant": meant}
-
-
-def reflow(page: dict, vocabulary: frozenset[str] | set[str]) -> list[str]:
-    """Blank-separated tokens of the page's text with cut words rejoined."""
-    tokens: list[str] = []
-    glue = False
-    for i in page["own"]:
-        parts = page["lines"][i].split()
-        if glue and tokens and parts:
-            head, tail = tokens.pop(), parts.pop(0)
-            stem = head.rstrip(CUT_MARKS)
-            joined = "".join(words_of(stem + tail))
-            code = any(c.isdigit() for c in stem + tail)
-            keep = head.endswith("-") and (code or joined not in vocabulary and all(w in vocabulary for w in words_of(stem + " " + tail)))
-            tokens.append((stem + "-" if keep else stem) + tail)
-        tokens.extend(parts)
-        glue = i in page["breaks"]
-    return tokens
-
-
-@lru_cache(maxsize=16)
-def _reference_trie(reference: str) -> tuple[frozenset[str], tuple[dict, dict]]:
-    """The reference's words and their trie; readings of one page lie together, so few are kept."""
-    known = frozenset(words_of(reference))
-    return known, build_trie(sorted(known))
-
-
-def misread_words(page: dict, reference: str) -> dict[int, list[tuple[str, str]]]:
-    """Per line of the page's text, its words that the reference does not have
-    in that place, each with the best candidate ('' where none is near).
-
-    Words that the trie of the reference's words accepts at distance 0 in an
-    aligned line are right. All others get every reference word within two
-    edits; the one the alignment puts in that place ranks first, then the
-    nearest. The alignment is the exact check: it clears words that are only
-    cut or differ in punctuation, and flags right words in a wrong place.
-    """
-    if not page["wrong"]:
-        return {}
-    known, trie = _reference_trie(reference)
-    found: dict[int, list[tuple[str, str]]] = {}
-    for i in sorted(page["wrong"]):
-        near_by = page["meant"].get(i, set())
-        for w in words_of(page["lines"][i]):
-            if w not in known:
-                options = within(trie, w, 1 if len(w) < 5 else 2)
-                best = min(options, key=lambda o: (o[0] not in near_by, o[1], o[0]), default=("", 0))[0]
-                found.setdefault(i, []).append((w, best))
-        found.setdefault(i, [])
-    return found
-
-
-# --- vocabulary trie and Levenshtein automaton ---------------------------------
-
-
-def build_trie(words: list[str]) -> tuple[dict, dict]:
-    """The words' trie and that of the reversed words; a word ends where '' leads to it."""
-    roots: tuple[dict, dict] = ({}, {})
-    for w in words:
-        for root, letters in zip(roots, (w, w[::-1])):
-            node = root
-            for c in letters:
-                node = node.setdefault(c, {})
-            node[""] = w
-    return roots
-
-
-class Automaton:
-    """Levenshtein automata for a fixed number of edits, independent of the word.
-
-    A state is a set of (offset, edits) pairs relative to a base position of
-    the word. A step only needs to know which of the next 2 * most + 1
-    characters equal the one read, so transitions are found once and kept.
-    """
 
-    def __init__(self, most: int):
-        self.most = most
-        self.width = 2 * most + 1
-        self.steps: dict[tuple, tuple] = {}
-        self.early: dict[tuple, tuple] = {}
-
-    start = ((0, 0),)
-
-    def step(self, state: tuple, bits: int, rest: int) -> tuple:
-        """(next state, shift of the base); an empty state accepts nothing more.
-
-        ``bits`` marks the equal characters from the base on, ``rest`` counts
-        those left in the word, up to the width.
-        """
-        key = (state, bits, rest)
-        known = self.steps.get(key)
-        if known is None:
-            raw = set()
-            for o, e in state:
-                if bits >> o & 1:
-                    raw.add((o + 1, e))
-                    continue
-                if e < self.most:
-                    raw.update(((o, e + 1), (o + 1, e + 1)))
-                    for d in range(1, self.most - e + 1):
-                        if bits >> (o + d) & 1:
-                            raw.add((o + d + 1, e + d))
-            kept = [(o, e) for o, e in raw if o <= rest and not any(f < e and abs(p - o) <= e - f for p, f in raw)]
-            shift = min((o for o, _ in kept), default=0)
-            known = self.steps[key] = (tuple(sorted((o - shift, e) for o, e in kept)), shift)
-        return known
-
-
-    def spare(self, state: tuple, half: int) -> tuple:
-        """The state without pairs that spent all edits within the first ``half`` characters."""
-        key = (state, half)
-        known = self.early.get(key)
-        if known is None:
-            known = self.early[key] = tuple((o, e) for o, e in state if e < self.most or o > half)
-        return known
-
-
-_automata = {k: Automaton(k) for k in (1, 2)}
-
-
-def _walk(trie: dict, word: str, most: int, half: int, found: dict[str, int]) -> None:
-    auto = _automata[most]
-    n, width, step = len(word), auto.width, auto.step
-    masks: dict[str, int] = {}
-    for i, c in enumerate(word):
-        masks[c] = masks.get(c, 0) | 1 << i
-    window = (1 << width) - 1
-    stack = [(trie, auto.start, 0)]
-    while stack:
-        node, state, base = stack.pop()
-        rest = n - base
-        if rest > width:
-            rest = width
-        for c, child in node.items():
-            if c == "":
-                d = min(e + n - base - o for o, e in state)
-                if d <= most:
-                    found[child] = d
-                continue
-            nxt, shift = step(state, masks.get(c, 0) >> base & window, rest)
-            if nxt:
-                at = base + shift
-                if at <= half:
-                    nxt = auto.spare(nxt, half - at)
-                if nxt:
-                    stack.append((child, nxt, at))
-
-
-def within(trie: tuple[dict, dict], word: str, most: int) -> list[tuple[str, int]]:
-    """All trie words at most ``most`` (1 or 2) edits from ``word``, with their distance.
-
-    Trie and automaton are walked together; a branch is left as soon as the
-    automaton can't accept any more. One half of the word always has an edit
-    less than ``most``: the words whose first half has it are found from the
-    front, those whose second half has it from the back, so that no walk
-    spends all edits near the root, where tries are widest.
-    """
-    found: dict[str, int] = {}
-    half = len(word) // 2
-    _walk(trie[0], word, most, half - 1, found)
-    _walk(trie[1], word[::-1], most, len(word) - half, found)
-    return list(found.items())
+def found_lines(page: dict, compared: bool) -> list[tuple[int, str]]:
+    found = [(i, k) for i, k in enumerate(page["kinds"]) if k in ("header", "page_no")]
+    found += [(i, "break") for i in sorted(page["breaks"])]
+    return found + [(i, "misread") for i in sorted(page["wrong"])] if compared else found
 
 
-# --- DataFrame operators --------------------------------------------------------
+def line_array(rows: list[list[tuple[int, str]]]) -> pa.Array:
+    kind = pa.struct([("line_no", pa.int32()), ("kind", pa.string())])
+    return pa.array([[{"line_no": i, "kind": k} for i, k in r] for r in rows], type=pa.list_(kind))
 
 
-def readings(engine: DataFrame) -> DataFrame:
-    """(record_id, doc, ocr_text, expected_text, reference): readings with text, once each.
+def header_frames(first: DataFrame) -> DataFrame:
+    """(frame): frames of headers on LEAST_PAGES pages or more."""
+    seen = first.select("doc", F.explode("heads").alias("frame")).where("doc is not null").distinct()
+    return seen.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("frame")
 
-    ``reference`` is the reading's own expected text or else that of any
-    other reading of the same page.
+
+def met(rows: DataFrame, asked: str, answers: DataFrame, answer: str) -> DataFrame:
+    """(of, found): per record id, which of the ``asked`` strings are among the ``answers``.
+
+    ``rows`` has (record_id, asked array). Answers are repeated for every salt, so a string asked by a
+    third of all records is met in SALTS places.
     """
-    slim = engine.select("record_id", "doc", "ocr_text", "expected_text", "loaded_at")
-    once = newest(slim, [F.col("record_id")], [F.col("loaded_at").desc_nulls_last(), F.col("ocr_text")])
-    known = engine.where("expected_text is not null and doc is not null").groupBy("doc").agg(F.max("expected_text").alias("other"))
-    joined = once.where("ocr_text is not null").join(known, "doc", "left")
-    return joined.select("record_id", "doc", "ocr_text", "expected_text", F.coalesce("expected_text", "other").alias("reference"))
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")
+    left = rows.select("record_id", salt.alias("salt"), F.explode(asked).alias(answer))
+    right = answers.select(answer, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    kept = left.hint("merge").join(right, [answer, "salt"], "left_semi")
+    return kept.groupBy(F.col("record_id").alias("of")).agg(F.collect_list(answer).alias("found"))
 
 
-def word_counts(engine: DataFrame) -> DataFrame:
-    """(word, n): in how many pages' expected texts each alphabetic word stands."""
-    texts = engine.where("expected_text is not null").groupBy("doc").agg(F.max("expected_text").alias("t"))
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"))).alias("word"))
-    return words.where(F.col("word").rlike(r"^\p{L}{2,}$")).groupBy("word").agg(F.count("*").alias("n"))
+def answered(pages: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``pages`` with the strings of ``found`` as array ``name``."""
+    own = found.withColumnRenamed("found", name)
+    return pages.hint("merge").join(own, F.col("record_id").eqNullSafe(F.col("of")), "left").drop("of")
 
 
-def learned_frames(pages: DataFrame) -> list[str]:
-    """Frames of the header lines found with a reference; each makes up FRAME_SHARE of them at least."""
+def line_frames(pages: DataFrame) -> DataFrame:
+    """(record_id, asked): the frames of all lines of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[str] = []
-            for text, ref in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lines = text.split("\n")
-                for x, k in zip(lines, furniture(lines, shingles(ref), frozenset())):
-                    if k == "header":
-                        out.extend(frames_of(x) or ["?"])
-            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.string())], names=["frame"])
-
-    counts = cut(
-        pages.where("reference is not null").select("ocr_text", "reference").mapInArrow(run, "frame string").groupBy("frame").agg(F.count("*").alias("n"))
-    )
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r.frame for r in counts.where(F.col("n") >= max(3.0, FRAME_SHARE * total / 2)).select("frame").collect() if r.frame != "?"]
+            asked = [sorted({f for x in text.split("\n") if not PAGE_NUMBER.fullmatch(x) for f in frames_of(x)}) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asked, type=pa.list_(pa.string()))], names=["record_id", "asked"])
+
+    return pages.select("record_id", "ocr_text").mapInArrow(run, "record_id long, asked array<string>")
 
 
 def asked_words(lines: list[list[str]], longest: int) -> set[str]:
@@ -481,25 +172,20 @@ def asked_words(lines: list[list[str]], longest: int) -> set[str]:
     return {w for w in asked if 0 < len(w) <= longest}
 
 
-def with_known(pages: DataFrame, words: DataFrame, frames) -> DataFrame:
-    """``pages`` with ``known``: the words of each page that the vocabulary ``words`` has.
-
-    ``frames`` is the broadcast of the headers' frames.
-    """
+def with_known(pages: DataFrame, words: DataFrame) -> DataFrame:
+    """``pages`` (record_id, ocr_text, frames) with ``known``: the words of each page that the vocabulary ``words`` has."""
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, asked = [], []
-            for rid, text in zip(*(c.to_pylist() for c in batch.columns)):
-                page = read_page(text, None, frames.value, frozenset())
-                ids.append(rid)
+            asked = []
+            for text, frames in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                page = read_page(text, None, frozenset(frames or ()), frozenset())
                 asked.append(sorted(asked_words([page["lines"][i].split() for i in page["own"]], longest)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(asked, type=pa.list_(pa.string()))], names=["record_id", "asked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asked, type=pa.list_(pa.string()))], names=["record_id", "asked"])
 
-    asked = pages.select("record_id", "ocr_text").mapInArrow(run, "record_id long, asked array<string>").select("record_id", F.explode("asked").alias("word"))
-    known = asked.join(words.select("word"), "word", "left_semi").groupBy(F.col("record_id").alias("of")).agg(F.collect_list("word").alias("known"))
-    return pages.join(known, F.col("record_id").eqNullSafe(F.col("of")), "left").drop("of")
+    asked = pages.select("record_id", "ocr_text", "frames").mapInArrow(run, "record_id long, asked array<string>")
+    return answered(pages, met(asked, "asked", words.select("word"), "word"), "known")
 
 
 def page_lines(engine: DataFrame) -> DataFrame:
@@ -508,33 +194,29 @@ def page_lines(engine: DataFrame) -> DataFrame:
     kind is header, page_no, break or misread, one row each. line_no counts
     the lines of ``ocr_text`` cut at line feeds from 0. Readings without text
     have no rows; ``misread`` is only told where the reading's own
-    expected_text is given; record ids delivered twice count once.
+    expected_text is given; record ids delivered twice count once. Pages that
+    tell all by themselves are read once, the others again with the frames (and,
+    without any text of the page, the words) that other pages know.
     """
     pages = cut(readings(engine))
-    spark = engine.sparkSession
-    frames = spark.sparkContext.broadcast(frozenset(learned_frames(pages)))
-    unread = with_known(pages.where("reference is null"), cut(word_counts(engine)), frames)
+    first = cut(first_reading(pages))
+    waiting = first.where("not done")
+    still = pages.hint("merge").join(waiting.select(F.col("record_id").alias("w")), F.col("record_id").eqNullSafe(F.col("w")), "left_semi")
+    framed = answered(still, met(waiting.select("record_id", "open"), "open", header_frames(first), "frame"), "frames")
+    framed = cut(framed)
+    unread = with_known(framed.where("reference is null or reference = ''"), cut(word_counts(engine)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, kinds = [], [], []
-            for rid, text, expected, ref, known in zip(*(c.to_pylist() for c in batch.columns)):
-                page = read_page(text, ref, frames.value, frozenset(known or ()))
-                found = [(i, k) for i, k in enumerate(page["kinds"]) if k in ("header", "page_no")]
-                found += [(i, "break") for i in page["breaks"]]
-                if expected is not None:
-                    found += [(i, "misread") for i in misread_words(page, expected)]
-                for i, k in found:
-                    ids.append(rid)
-                    numbers.append(i)
-                    kinds.append(k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, type=pa.int64()), pa.array(numbers, type=pa.int32()), pa.array(kinds, type=pa.string())],
-                names=["record_id", "line_no", "kind"],
-            )
+            rows = []
+            for text, expected, ref, frames, known in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                page = read_page(text, reference_of(ref) if ref else None, frozenset(frames or ()), frozenset(known or ()))
+                rows.append(found_lines(page, expected is not None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), line_array(rows)], names=["record_id", "rows"])
 
-    read = pages.where("reference is not null").withColumn("known", F.lit(None).cast("array<string>")).unionByName(unread)
-    return read.select("record_id", "ocr_text", "expected_text", "reference", "known").mapInArrow(run, "record_id long, line_no int, kind string")
+    told = framed.where("reference <> ''").withColumn("known", F.lit(None).cast("array<string>")).unionByName(unread)
+    told = told.select("record_id", "ocr_text", "expected_text", "reference", "frames", "known").mapInArrow(run, "record_id long, rows array<struct<line_no:int,kind:string>>")
+    return first.where("done").select("record_id", "rows").unionByName(told).select("record_id", F.inline("rows"))
 
 
 def _confusion_cost(seen: str, meant: str) -> float:
@@ -599,32 +281,34 @@ def _suspicious(token: str, words) -> str:
     return core
 
 
-def repaired_texts(engine: DataFrame) -> DataFrame:
+def repaired_texts(engine: DataFrame, known_texts: DataFrame | None = None) -> DataFrame:
     """(record_id, doc, repaired_text): continuous text of every reading, without page furniture.
 
-    Uses no reference: frames and vocabulary come from the corpus, as they
-    would for a page whose text is unknown. Readings without text give null.
+    No reading is compared with its own text: frames, words and word pairs come from
+    the expected texts of ``known_texts`` (by default of ``engine``) as a
+    whole. To measure the repair, leave the measured pages out of it. Readings
+    without text give null.
     """
     pages = cut(readings(engine))
-    spark = engine.sparkSession
-    frames = spark.sparkContext.broadcast(frozenset(learned_frames(pages)))
-    words = cut(word_counts(engine))
+    source = pages if known_texts is None else readings(known_texts)
+    frames = header_frames(first_reading(source.where("reference <> ''")))
+    framed = answered(pages.select("record_id", "ocr_text"), met(line_frames(pages), "asked", frames, "frame"), "frames")
+    words = cut(word_counts(engine if known_texts is None else known_texts))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, all_tokens, cores = [], [], []
-            for rid, text, known in zip(*(c.to_pylist() for c in batch.columns)):
+            all_tokens, cores = [], []
+            for text, frames, known in zip(*(batch.column(i).to_pylist() for i in range(1, 4))):
                 vocabulary = frozenset(known or ())
-                flow = reflow(read_page(text, None, frames.value, vocabulary), vocabulary)
-                ids.append(rid)
+                flow = reflow(read_page(text, None, frozenset(frames or ()), vocabulary), vocabulary)
                 all_tokens.append(flow)
                 cores.append([_suspicious(t, vocabulary) for t in flow])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, type=pa.int64()), pa.array(all_tokens, type=pa.list_(pa.string())), pa.array(cores, type=pa.list_(pa.string()))],
+                [batch.column(0), pa.array(all_tokens, type=pa.list_(pa.string())), pa.array(cores, type=pa.list_(pa.string()))],
                 names=["record_id", "tokens", "cores"],
             )
 
-    read = with_known(pages.select("record_id", "ocr_text"), words, frames)
+    read = with_known(cut(framed), words).select("record_id", "ocr_text", "frames", "known")
     flows = cut(read.mapInArrow(tokens, "record_id long, tokens array<string>, cores array<string>"))
     plain = F.transform("tokens", lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]", ""))
     at = (
@@ -633,7 +317,7 @@ def repaired_texts(engine: DataFrame) -> DataFrame:
         .select("record_id", "i", "token", F.get("w", F.col("i") - 1).alias("before"), F.get("w", F.col("i") + 1).alias("after"))
     )
     options = candidates(at, words)
-    texts = engine.where("expected_text is not null").groupBy("doc").agg(F.max("expected_text").alias("t"))
+    texts = (engine if known_texts is None else known_texts).where("expected_text is not null").groupBy("doc").agg(F.max("expected_text").alias("t"))
     seq = texts.select(F.transform(F.split("t", r"\s+"), lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]", "")).alias("w"))
     grams = seq.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))).alias("g"))
     pairs = grams.select("g.*").where("a is not null and b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
@@ -654,22 +338,20 @@ def repaired_texts(engine: DataFrame) -> DataFrame:
     best = ranked.withColumn("score", score).where(F.col("score") >= LEAST_SCORE).withColumn("r", F.row_number().over(w)).where("r = 1")
     fixes = best.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "candidate"))).alias("fix"))
 
-    @F.udf("string")
-    def rebuild(tokens, fix):
-        if tokens is None:
-            return None
-        out = []
-        for i, t in enumerate(tokens):
-            word = (fix or {}).get(i)
-            if word:
-                lead = re.match(r"[\W_]*", t).group()
-                tail = re.search(r"[\W_]*$", t).group()
-                body = t[len(lead) : len(t) - len(tail)]
-                letters = [c for c in body if c.isalpha()]
-                shaped = word.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else word.capitalize() if body[:1].isupper() else word
-                t = lead + shaped + tail
-            out.append(t)
-        return " ".join(out)
-
-    text = flows.join(fixes, "record_id", "left").select("record_id", rebuild("tokens", "fix").alias("repaired_text"))
-    return newest(engine.select("record_id", "doc", "loaded_at"), [F.col("record_id")], [F.col("loaded_at").desc_nulls_last(), F.col("doc")]).select("record_id", "doc").join(text, "record_id", "left")
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for tokens, fix in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                for i, word in fix or ():
+                    t = tokens[i]
+                    lead = re.match(r"[\W_]*", t).group()
+                    tail = re.search(r"[\W_]*$", t).group()
+                    body = t[len(lead) : len(t) - len(tail)]
+                    letters = [c for c in body if c.isalpha()]
+                    shaped = word.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else word.capitalize() if body[:1].isupper() else word
+                    tokens[i] = lead + shaped + tail
+                out.append(" ".join(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.string())], names=["record_id", "repaired_text"])
+
+    text = flows.select("record_id", "tokens").hint("merge").join(fixes, "record_id", "left").select("record_id", "tokens", "fix").mapInArrow(rebuild, "record_id long, repaired_text string")
+    return newest(engine.select("record_id", "doc", "loaded_at"), [F.col("record_id")], [F.col("loaded_at").desc_nulls_last(), F.col("doc")]).select("record_id", "doc").hint("merge").join(text, "record_id", "left")

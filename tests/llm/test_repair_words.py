@@ -3,7 +3,7 @@
 import random
 from datetime import datetime
 
-from foliolake.llm import repair
+from foliolake.llm import layout, repair
 
 T0 = datetime(2025, 1, 1)
 ENGINE = "record_id long, doc string, profile string, expected_text string, ocr_text string, loaded_at timestamp_ntz"
@@ -54,8 +54,8 @@ def test_asked_words_are_all_that_is_asked():
     for _ in range(400):
         text = "\n".join(" ".join(rng.choice(bits) for _ in range(rng.choice((0, 1, 1, 1, 3)))) for _ in range(rng.randint(1, 9)))
         known = Asked(rng)
-        page = repair.read_page(text, None, frozenset(), known)
-        for t in repair.reflow(page, known):
+        page = layout.read_page(text, None, frozenset(), known)
+        for t in layout.reflow(page, known):
             repair._suspicious(t, known)
         lines = [page["lines"][i].split() for i in page["own"]]
         assert {w for w in known.seen if w} <= repair.asked_words(lines, 10**6)

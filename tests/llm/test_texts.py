@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from pyspark.sql import functions as F
 
-from foliolake.llm import overlap, repair, spans
+from foliolake.llm import layout, overlap, repair, spans, tries
 
 T0 = datetime(2025, 1, 1)
 CROPS = "crop_id long, labels string, doc string, split string, loaded_at timestamp_ntz"
@@ -176,10 +176,10 @@ def test_sliding_min(values, w):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("abc", max_size=7), max_size=40), st.text("abcd", max_size=8), st.sampled_from([1, 2]))
+@given(st.lists(st.text("abc", max_size=7), max_size=40), st.text("abcd", max_size=8), st.sampled_from([1, 2, 3, 4]))
 def test_automaton_walk_is_complete(words, word, most):
     words = sorted(set(words))
-    got = repair.within(repair.build_trie(words), word, most)
+    got = tries.within(tries.build_trie(words), word, most)
     assert sorted(got) == sorted((v, distance(v, word)) for v in words if distance(v, word) <= most)
 
 
@@ -200,30 +200,63 @@ def kinds(page):
 
 def test_read_page_with_reference():
     want = [(0, "header"), (1, "break"), (2, "break"), (3, "page_no"), (4, "header"), (5, "break"), (5, "misread"), (7, "page_no")]
-    assert kinds(repair.read_page(PAGE, TRUE, frozenset(), set())) == want
+    assert kinds(layout.read_page(PAGE, layout.reference_of(TRUE), frozenset(), set())) == want
 
 
 def test_read_page_without_reference():
     frames = frozenset(["mutual statement$", "^ruafax mutual"])
-    page = repair.read_page(PAGE, None, frames, {"parties", "lazy"})
+    page = layout.read_page(PAGE, None, frames, {"parties", "lazy"})
     assert (0, "header") in kinds(page) and (1, "break") in kinds(page) and (5, "break") in kinds(page)
-    assert " ".join(repair.reflow(repair.read_page(PAGE, TRUE, frozenset(), set()), {"lazy", "parties"})).startswith("The quick brown fox jumps over the lazy dog. Clause XATF-K2-99 was")
+    assert " ".join(layout.reflow(layout.read_page(PAGE, layout.reference_of(TRUE), frozenset(), set()), {"lazy", "parties"})).startswith("The quick brown fox jumps over the lazy dog. Clause XATF-K2-99 was")
 
 
 @pytest.mark.parametrize("text", ["", "\n\n", "12", "PAGE 3", "x", "-\n-", "​"])
 def test_read_page_odd_texts(text):
     for ref in (None, "", "some text", "12"):
-        page = repair.read_page(text, ref, frozenset(), set())
+        page = layout.read_page(text, ref and layout.reference_of(ref), frozenset(), set())
         assert len(page["lines"]) == text.count("\n") + 1
-        repair.reflow(page, set())
+        layout.reflow(page, set())
 
 
-def test_align_long_garbage_ends():
+def lines_wrong(text, true):
+    return layout.read_page(text, layout.reference_of(true), frozenset(), frozenset())["wrong"]
+
+
+def test_long_foreign_parts_spoil_nothing():
     rng = random.Random(1)
-    s = "".join(rng.choice("abc") for _ in range(3000))
-    where, regions = repair.align(s, s[:1000] + "Q" + s[1000:])
-    assert where[500] == 500 and where[2000] == 2001 and len(regions) <= 2
-    repair.align(s, "".join(rng.choice("xyz") for _ in range(2000)))
+    word = lambda abc: "".join(rng.choice(abc) for _ in range(rng.randint(3, 9)))
+    own = [" ".join(word("abcdefgh") for _ in range(8)) for _ in range(60)]
+    foreign = [" ".join(word("stuvwxyz") for _ in range(8)) for _ in range(200)]
+    true = " ".join(own)
+    assert lines_wrong("\n".join(own), true) == set()
+    bad = own[30].replace(own[30].split()[4], own[30].split()[4][:-1] + "z")
+    assert lines_wrong("\n".join(own[:20] + foreign + own[20:30] + [bad] + own[31:]), true) == {230}
+    assert lines_wrong("\n".join(own[:20] + own[40:]), true) == set()
+    assert lines_wrong("\n".join(foreign), true) == set()
+
+
+@pytest.mark.parametrize(
+    "lines,true,breaks,wrong",
+    [
+        (["the batch is", "due"], "The batch is due", [], []),
+        (["the bat-", "ch is due"], "The batch is due", [0], []),
+        (["the bat", "ch is due"], "The batch is due", [0], []),
+        (["the b0t-", "ch is due"], "The batch is due", [0], [0]),
+        (["the bat-", "cn is due"], "The batch is due", [0], [1]),
+        (["the batc", "is due now"], "The batch is due now", [], [0]),
+        (["the batch is du"], "The batch is due", [], [0]),
+        (["the batcch is", "due"], "The batch is due", [], [0]),
+        (["made 0r 2012 by", "hand"], "made on 2012 by hand", [], [0]),
+        (["ma de on 2012 by", "hand"], "made on 2012 by hand", [], []),
+        (["madeon 2012 by", "hand"], "made on 2012 by hand", [], []),
+    ],
+)
+def test_verdicts_come_from_candidates(lines, true, breaks, wrong, monkeypatch):
+    tokens = [[layout.solid(t) for t in x.split()] for x in lines]
+    assert tuple(map(sorted, layout.compare(tokens, layout.reference_of(true)))) == (breaks, wrong)
+    if wrong:  # without the search nothing is misread
+        monkeypatch.setattr(layout, "within", lambda *a: [])
+        assert not layout.compare(tokens, layout.reference_of(true))[1]
 
 
 ENGINE = "record_id long, doc string, profile string, expected_text string, ocr_text string, loaded_at timestamp_ntz"
@@ -236,7 +269,7 @@ def test_page_lines_and_repaired_texts(spark):
     out = [tuple(r) for r in repair.page_lines(df).collect()]
     assert len(out) == len(set(out))
     per = {rid: sorted((n, k) for r, n, k in out if r == rid) for rid in (0, 50, 51, 52)}
-    assert per[0] == kinds(repair.read_page(PAGE, TRUE, frozenset(), set()))
+    assert per[0] == kinds(layout.read_page(PAGE, layout.reference_of(TRUE), frozenset(), set()))
     assert per[50] == [x for x in per[0] if x[1] != "misread"] and per[51] == [] and per[52] == []
     texts = {r.record_id: r.repaired_text for r in repair.repaired_texts(df).collect()}
     assert len(texts) == 17 and texts[51] is None and texts[52] == ""
