@@ -73,7 +73,7 @@ class Reference:
         self.ends = list(accumulate(map(len, self.words)))
         self.starts = {0, *self.ends}
         self.known = frozenset(self.words)
-        self._trie = self._fives = self._threes = None
+        self._trie = None
 
     def __bool__(self) -> bool:
         return bool(self.flat)
@@ -84,24 +84,22 @@ class Reference:
     @property
     def trie(self) -> tuple[dict, dict]:
         if self._trie is None:
-            self._trie = build_trie(sorted(self.known))
+            self._trie = build_trie(self.known)
         return self._trie
 
     def own(self, tokens: list[str], s: str) -> float:
         """Share of the 5-grams of the line ``s`` that the text has; 1 when its whole words make up most of the line."""
-        if s in self.flat or sum([len(t) for t in tokens if t in self.known]) >= 0.75 * len(s):
+        if s in self.flat or sum([len(t) for t in tokens if t in self.known]) >= 0.7 * len(s):
             return 1.0
-        if self._fives is None:
-            self._fives = _grams(self.flat, 5)
-        w = _grams(s, 5)
-        return len(w & self._fives) / len(w)
+        return self.share(s, 5)
 
     def near(self, s: str) -> bool:
         """Has the text most 3-grams of ``s``?"""
-        if self._threes is None:
-            self._threes = _grams(self.flat, 3)
-        w = _grams(s, 3)
-        return len(w & self._threes) >= 0.6 * len(w)
+        return self.share(s, 3) >= 0.6
+
+    def share(self, s: str, k: int) -> float:
+        grams, flat = _grams(s, k), self.flat
+        return sum([g in flat for g in grams]) / len(grams)
 
 
 @lru_cache(maxsize=256)
@@ -221,7 +219,7 @@ def compare(lines: list[list[str]], reference: Reference) -> tuple[set[int], set
         there = words[reference.word_at(p) : reference.word_at(max(p, q - 1)) + 1]
         if not there:
             return
-        trie = build_trie(sorted(set(there)))
+        trie = build_trie(there)
         n = i
         while n < a:
             t = tokens[n]
