@@ -67,7 +67,33 @@ def test_consistent_records_follow_renames(spark):
     assert {r.ms for r in raw} == {1000, 1001, 1002, 1500} and all(dict(r.extras) == {"device": '"cam"'} for r in raw)
     old = next(r for r in out if r.origin == "old")
     assert old.fields == ["GBP 1.00", "X-1"] and old.ms == 8354 and old.expected_text is None
-    assert len({r.version for r in raw}) == 3
+    assert len({r.version for r in raw}) == 3 and old.record_id == 1 and all(r.received_at == T0 for r in raw)
+    did = {r.origin: set(r.applied) for r in out}
+    assert "rename gold to expected_text" in did["f3"] and {"cast ms", "default fields"} <= did["f3"] and {"cast ms", "cast fields", "default error"} <= did["old"]
+
+
+def test_no_value_is_lost(spark):
+    values = ['["a", "b"]', '"a; b"', '"[\\"a\\"]"', '{"f0": "a", "f1": "b"}', '{"items": ["a"]}', '{"x": {"y": 1}}', "7", "true", '""', "null", '{"values": "z"}']
+    rows = file_rows("f1", 1, [f'{{"doc": "d{i}", "profile": "p", "fields": {v}, "ms": {m}, "ocr_confidence": "high"}}' for i, (v, m) in enumerate(zip(values, ["1"] * 9 + ['"soon"', "[1]"]))])
+    typed = spark.createDataFrame([("d9", "12 s"), ("d8", "a while"), ("d7", None)], "doc string, ms string")
+    out = schema_drift.consistent_records(spark.createDataFrame(rows, FILES), {"t": typed}).collect()
+    per = {r.doc: r for r in out if r.origin == "f1"}
+    assert [per[f"d{i}"].fields for i in range(5)] == [["a", "b"], ["a", "b"], ["a"], ["a", "b"], ["a"]]
+    for i, v in enumerate(values):
+        r = per[f"d{i}"]
+        assert v == "null" or r.fields is not None or r.extras["fields"] == v
+        assert r.extras["ocr_confidence"] == '"high"' and "unreadable ocr_confidence" in r.applied
+    assert per["d9"].extras["ms"] == '"soon"' and per["d10"].extras["ms"] == "[1]" and per["d0"].ms == 1
+    old = {r.doc: r for r in out if r.origin == "t"}
+    assert old["d9"].ms == 12000 and dict(old["d8"].extras) == {"ms": '"a while"'} and old["d7"].extras == {}
+    rules = {(r.origin, r.rule): r.n for r in schema_drift.applied_rules(schema_drift.consistent_records(spark.createDataFrame(rows, FILES), {"t": typed})).collect()}
+    assert rules["f1", "unreadable ocr_confidence"] == 11 and rules["t", "unreadable ms"] == 1
+
+
+def test_unchanged_versions_have_no_steps(spark):
+    rows = [r for k in range(4) for r in file_rows(f"f{k}", k, [{"doc": "a", "profile": "p", "n": 1} if k != 2 else {"doc": "a", "profile": "p", "n": "1"}])]
+    steps = [tuple(r) for r in schema_drift.migration_registry(spark.createDataFrame(rows, FILES)).drop("prev_version", "version").collect()]
+    assert steps == [("arm", "b", "retyped", "n", "n", 1)] * 2
 
 
 RECORD = "record_id long, doc string, profile string, fields array<string>, ocr_text string, loaded_at timestamp_ntz"
