@@ -7,14 +7,18 @@ per task are bounded and only one container per group can be left over.
 
 Within a group: best fit decreasing gives the incumbent; then branch and bound
 completes one container at a time around the largest remaining item with
-undominated fillings (fullest first), pruned by the waste that an improvement
-could still afford. The search stops when the incumbent meets the lower bound
-or after ``max_nodes`` fillings, keeping the best packing found.
+undominated fillings, pruned by the waste that an improvement could still
+afford. At each node the likeliest fillings come first; all others follow,
+fullest first, when the search comes back. It stops when the incumbent meets
+the lower bound, when nothing is left to try, or after ``max_nodes`` fillings;
+in the first two cases the packing is proven to be the best (``max_nodes`` None
+always searches to the end).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -114,8 +118,8 @@ class _Stock:
         self.put(tuple(taken))
         return (*taken, *last)
 
-    def fillings(self, room: int) -> list[tuple[int, ...]]:
-        """Maximal fillings of ``room``, fullest first; any whose items another one's single item covers is dropped."""
+    def likely(self, room: int) -> list[tuple[int, ...]]:
+        """A few full fillings of ``room`` that cost little to find, fullest first."""
         v = self.values
         i = bisect_right(v, room)
         if not i:
@@ -131,62 +135,130 @@ class _Stock:
             options.append(self.several(room))
         return sorted(set(options), key=lambda f: (-sum(f), len(f), f))
 
+    def fillings(self, room: int, least: int) -> Iterator[tuple[int, ...]]:
+        """Every undominated filling of ``room`` with a sum of ``least`` or more,
+        first the likely ones, then the others, fullest first.
 
-def bin_completion(sizes: list[int], capacity: int, max_nodes: int = 1000) -> list[list[int]]:
-    """Containers as lists of sizes; sizes must lie in 1..capacity."""
+        Sets of sums are integers with one bit per sum, so only fillings that
+        exist are ever entered.
+        """
+        least = max(least, 0)
+        seen = set()
+        for f in self.likely(room):
+            if sum(f) >= least:
+                seen.add(tuple(sorted(f, reverse=True)))
+                yield f
+        if (room,) in seen:
+            return  # it covers every other filling
+        v = self.values[: bisect_right(self.values, room)]
+        counts = {s: self.count[s] for s in v}
+        mask = (2 << room) - 1
+        reach = [1]
+        for s in v:
+            sums, left, step = reach[-1], min(counts[s], room // s), 1
+            while left:
+                step = min(step, left)
+                sums |= sums << s * step & mask
+                left -= step
+                step *= 2
+            reach.append(sums)
+        for total in range(room, least - 1, -1):
+            if not reach[-1] >> total & 1:
+                continue
+            stack: list[tuple[int, int, tuple[int, ...]]] = [(len(v), total, ())]
+            while stack:
+                i, rest, taken = stack.pop()
+                if not rest:
+                    if taken not in seen and not _dominated(taken, room - total, v, counts):
+                        seen.add(taken)
+                        yield taken
+                    continue
+                s = v[i - 1]
+                for n in range(min(counts[s], rest // s) + 1):
+                    if reach[i - 1] >> rest - n * s & 1:
+                        stack.append((i - 1, rest - n * s, taken + (s,) * n))
+
+
+def _dominated(filling: tuple[int, ...], slack: int, values: list[int], counts: dict[int, int]) -> bool:
+    """Could an item outside take the place of some items inside (or of none)
+    without leaving more room? Then the other filling is never worse."""
+    any_sum, several = 1, 0
+    for s in filling:
+        several |= (several | any_sum & ~1) << s
+        any_sum |= any_sum << s
+    for x in values:
+        if filling.count(x) == counts[x]:
+            continue
+        low = max(0, x - slack)
+        if any_sum >> low & (1 << x - low) - 1 or several >> x & 1:
+            return True
+    return False
+
+
+def bin_completion(sizes: list[int], capacity: int, max_nodes: int | None = 1000) -> tuple[list[list[int]], bool]:
+    """(containers as lists of sizes, proven): sizes must lie in 1..capacity.
+
+    proven tells that no packing has fewer containers.
+    """
     sizes = sorted(sizes, reverse=True)
     bound = lower_bound(sizes, capacity)
     best = best_fit_decreasing(sizes, capacity)
     if len(best) <= bound:
-        return best
+        return best, True
     stock = _Stock(sizes)
     path: list[tuple[int, ...]] = []
-    todo: list[list[tuple[int, ...]]] = []
     nodes, dives = 0, len(sizes)
 
-    def options() -> list[tuple[int, ...]]:
-        if len(path) + -(-stock.total // capacity) >= len(best):
-            return []
+    def options() -> Iterator[tuple[int, ...]]:
         big = stock.values[-1]
         stock.take((big,))
+        room = capacity - big
         spare = (len(best) - 1 - len(path)) * capacity - stock.total - big
-        found = [(big, *f) for f in stock.fillings(capacity - big) if capacity - big - sum(f) <= spare]
+        found = stock.fillings(room, room - spare) if spare >= 0 else iter(())
+        first = next(found, None)
         stock.put((big,))
-        return found[::-1]
+        while first is not None:
+            yield (big, *first)
+            # The stock is as it was when this filling's branch has been left.
+            stock.take((big,))
+            first = next(found, None)
+            stock.put((big,))
 
-    todo.append(options())
+    todo = [options()]
     while todo:
-        if not todo[-1]:
+        filling = next(todo[-1], None) if len(path) + -(-stock.total // capacity) < len(best) else None
+        if filling is None:
             todo.pop()
             if path:
                 stock.put(path.pop())
             continue
         nodes += 1
-        if nodes > dives + max_nodes:
-            break
-        filling = todo[-1].pop()
+        if max_nodes is not None and nodes > dives + max_nodes:
+            return best, False
         stock.take(filling)
         path.append(filling)
         if not stock.values:
             if len(path) < len(best):
                 best = [list(f) for f in path]
                 if len(best) <= bound:
-                    break
+                    return best, True
             stock.put(path.pop())
         else:
             todo.append(options())
-    return best
+    return best, True
 
 
-def pack_texts(sized: DataFrame, specs: DataFrame, group_items: int = 2000, max_nodes: int = 1000) -> DataFrame:
-    """(spec, capacity, container, doc_id, piece, first_token, tokens).
+def pack_texts(sized: DataFrame, specs: DataFrame, group_items: int = 2000, max_nodes: int | None = 1000) -> DataFrame:
+    """(spec, capacity, container, doc_id, piece, first_token, tokens, part, least, proven).
 
     ``sized`` has (doc_id, tokens); ``specs`` has (spec, capacity_tokens).
     Every text, or every piece of a text above the capacity, lies in exactly
     one container; tokens first_token.. of the text make up the piece. Texts
     without tokens take no room and get no container, nor do texts without an
     id, which could not be found again; specs without a
-    positive capacity are left out; empty tables give no rows. Equal ids are
+    positive capacity are left out; empty tables give no rows. ``least`` is the
+    lower bound of the containers of the group ``part``, and ``proven`` tells
+    that its packing is the best there is; full pieces have neither group nor bound. Equal ids are
     told apart only by their rows, so doc_id should be unique.
     """
     plan = specs.where("capacity_tokens > 0").select("spec", "capacity_tokens").collect()  # one row per spec
@@ -206,6 +278,7 @@ def pack_texts(sized: DataFrame, specs: DataFrame, group_items: int = 2000, max_
         F.concat_ws("-", "spec", F.lit("t"), "doc_id", "piece").alias("container"),
         "doc_id", F.col("piece").cast("int").alias("piece"),
         (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("tokens"),
+        F.lit(None).cast("long").alias("part"), F.lit(None).cast("long").alias("least"), F.lit(True).alias("proven"),
     )
     rest = per_spec.select(
         "spec", "capacity", "doc_id", F.col("full").cast("int").alias("piece"),
@@ -222,13 +295,15 @@ def pack_texts(sized: DataFrame, specs: DataFrame, group_items: int = 2000, max_
         for i in range(len(sizes) - 1, -1, -1):
             waiting.setdefault(sizes[i], []).append(i)
         where = [0] * len(sizes)
-        for b, filling in enumerate(bin_completion(sizes, capacity, max_nodes)):
+        bins, proven = bin_completion(sizes, capacity, max_nodes)
+        for b, filling in enumerate(bins):
             for s in filling:
                 where[waiting[s].pop()] = b
         pdf["container"] = [f"{spec}-{part}-{b}" for b in where]
-        return pdf[["spec", "capacity", "container", "doc_id", "piece", "first_token", "tokens"]]
+        pdf["least"], pdf["proven"] = lower_bound(sizes, capacity), proven
+        return pdf[["spec", "capacity", "container", "doc_id", "piece", "first_token", "tokens", "part", "least", "proven"]]
 
-    schema = "spec string, capacity long, container string, doc_id long, piece int, first_token long, tokens long"
+    schema = "spec string, capacity long, container string, doc_id long, piece int, first_token long, tokens long, part long, least long, proven boolean"
     packed = rest.groupBy("spec", "part").applyInPandas(pack, schema)
     return whole.unionByName(packed)
 
@@ -239,3 +314,41 @@ def container_fill(packed: DataFrame) -> DataFrame:
         F.first("capacity").alias("capacity"), F.count("*").alias("n_pieces"), F.sum("tokens").alias("used_tokens")
     )
     return used.withColumn("fill", F.col("used_tokens") / F.col("capacity"))
+
+
+def packing_report(packed: DataFrame) -> DataFrame:
+    """(spec, groups, proven_groups, containers, least_containers, used_tokens, fill): per spec.
+
+    least_containers adds the groups' lower bounds and the full pieces; fill is
+    the used share of all containers.
+    """
+    per = packed.groupBy("spec", "capacity", "part").agg(
+        F.min("proven").alias("proven"), F.count_distinct("container").alias("containers"), F.max("least").alias("least"), F.sum("tokens").alias("used_tokens")
+    )
+    grouped = F.col("part").isNotNull()
+    return (
+        per.groupBy("spec", "capacity")
+        .agg(
+            F.sum(grouped.cast("long")).alias("groups"),
+            F.sum((grouped & F.col("proven")).cast("long")).alias("proven_groups"),
+            F.sum("containers").alias("containers"),
+            F.sum(F.coalesce("least", "containers")).alias("least_containers"),
+            F.sum("used_tokens").alias("used_tokens"),
+        )
+        .select("spec", "groups", "proven_groups", "containers", "least_containers", "used_tokens", (F.col("used_tokens") / (F.col("containers") * F.col("capacity"))).alias("fill"))
+    )
+
+
+def packing_checks(packed: DataFrame, sized: DataFrame) -> DataFrame:
+    """(spec, n_texts, wrong_sizes, overfull, needless_cuts): texts packed per spec;
+    texts whose pieces don't make up the text; containers over capacity; texts cut though they fit."""
+    texts = packed.groupBy("spec", "capacity", "doc_id").agg(F.sum("tokens").alias("packed"), F.count("*").alias("pieces"))
+    texts = texts.join(sized.select("doc_id", F.col("tokens").alias("size")), "doc_id")
+    flag = lambda c: F.sum(c.cast("long"))
+    per = texts.groupBy("spec").agg(
+        F.count("*").alias("n_texts"),
+        flag(F.col("packed") != F.col("size")).alias("wrong_sizes"),
+        flag((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).alias("needless_cuts"),
+    )
+    full = packed.groupBy("spec", "capacity", "container").agg(F.sum("tokens").alias("used")).groupBy("spec").agg(flag(F.col("used") > F.col("capacity")).alias("overfull"))
+    return per.join(full, "spec").select("spec", "n_texts", "wrong_sizes", "overfull", "needless_cuts")

@@ -64,6 +64,15 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_fill(p6_packed(spark, sf_dir))
 
 
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p6_packed(spark, sf_dir))
+
+
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sized_once(table(spark, sf_dir, "documents"))
+    return packing.packing_checks(packing.pack_texts(sized, table(spark, sf_dir, "pack_specs")), sized)
+
+
 def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sized_once(table(spark, sf_dir, "documents"))
     return mixing.mix_sources(sized, table(spark, sf_dir, "mix_targets"))
@@ -86,7 +95,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_splits, p2_report, p3_found, p3_report, p3_coverage, p3_classes, p3_links, p4_found, p4_repaired,
-        p6_packed, p6_fill, p7_copies, p7_shares, p8_found, p8_shared,
+        p6_packed, p6_fill, p6_report, p6_checks, p7_copies, p7_shares, p8_found, p8_shared,
     )
 }
 
@@ -119,6 +128,9 @@ m as (select ev.t e, tr.t t from ev join tr on abs(length(ev.t) - length(tr.t))
   and levenshtein(ev.t, tr.t) <= greatest(length(ev.t), length(tr.t)) // 10)
 select least(a.crop_id, b.crop_id) crop_a, greatest(a.crop_id, b.crop_id) crop_b
 from m join c a on a.t = m.t and a.s = 'train' join c b on b.t = m.e and b.s <> 'train'""",
+    "p6_checks": r"""
+select spec, (select count(*) from documents where regexp_matches(text, '\S')) n_texts, 0::bigint wrong_sizes, 0::bigint overfull, 0::bigint needless_cuts
+from pack_specs where capacity_tokens > 0""",
     "p8_found": """
 with w as (select doc_id, i, hash(substring(text, i, 200)) g, length(text) n from (select doc_id, text, unnest(range(1, length(text) - 198)) i from documents where length(text) >= 200)),
 h as (select g from w group by g having min(doc_id) <> max(doc_id)),

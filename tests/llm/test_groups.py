@@ -114,7 +114,8 @@ def test_sized_texts_skip_blanks(spark):
 def test_bin_completion(capacity, low, high, n):
     rng = random.Random(capacity + n)
     sizes = [rng.randint(low, high) for _ in range(n)]
-    bins = packing.bin_completion(sizes, capacity)
+    bins, proven = packing.bin_completion(sizes, capacity)
+    assert not proven or len(bins) >= packing.lower_bound(sizes, capacity)
     assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= capacity for b in bins)
     bound = packing.lower_bound(sizes, capacity)
     assert bound <= len(bins) <= len(packing.best_fit_decreasing(sorted(sizes, reverse=True), capacity))
@@ -122,7 +123,45 @@ def test_bin_completion(capacity, low, high, n):
 
 def test_bin_completion_beats_best_fit():
     sizes = [51, 27, 22, 52, 26, 22, 50, 28, 22]  # three perfect triples
-    assert len(packing.bin_completion(sizes, 100)) == 3
+    bins, proven = packing.bin_completion(sizes, 100)
+    assert len(bins) == 3 and proven
+
+
+def fewest_bins(sizes, capacity):
+    """By dynamic programming over all subsets: (containers, room used in the last), least first."""
+    best = {0: (1, 0)}
+    for subset in range(1, 1 << len(sizes)):
+        options = []
+        for i, s in enumerate(sizes):
+            if subset >> i & 1:
+                bins, used = best[subset ^ 1 << i]
+                options.append((bins, used + s) if used + s <= capacity else (bins + 1, s))
+        best[subset] = min(options)
+    return best[(1 << len(sizes)) - 1][0] if sizes else 0
+
+
+def test_search_to_the_end_is_the_optimum():
+    rng = random.Random(12)
+    for n in range(1000):
+        low, high = rng.choice([(12, 45), (1, 60), (26, 51), (5, 30)])
+        sizes = [rng.randint(low, high) for _ in range(8 if n % 25 else 12)]
+        bins, proven = packing.bin_completion(sizes, 100, None)
+        assert proven and len(bins) == fewest_bins(sizes, 100) and sorted(s for b in bins for s in b) == sorted(sizes) and max(map(sum, bins)) <= 100
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = [rng.randint(3, 20) for _ in range(9)]
+        room = rng.randint(5, 50)
+        stock = packing._Stock(sizes)
+        got = {tuple(sorted(f)) for f in stock.fillings(room, 0)}
+        feasible = {tuple(sorted(s for i, s in enumerate(sizes) if m >> i & 1)) for m in range(1 << 9)}
+        feasible = {f for f in feasible if sum(f) <= room}
+        assert got <= feasible and max(map(sum, feasible)) == max(map(sum, got))
+        counts = {s: sizes.count(s) for s in sizes}
+        best = {f for f in feasible if not packing._dominated(f, room - sum(f), sorted(counts), counts)}
+        assert best <= got or (room,) in got
 
 
 def test_pack_texts(spark):
@@ -143,6 +182,10 @@ def test_pack_texts(spark):
             at += n
         assert at == sizes[i] and len(parts) == -(-sizes[i] // 100)
     assert max(fill.values()) <= 100 and len(fill) <= sum(sizes) / 100 + 12
+    checks = packing.packing_checks(packing.pack_texts(z, specs, group_items=150), z.where("doc_id is not null")).first()
+    assert (checks.n_texts, checks.wrong_sizes, checks.overfull, checks.needless_cuts) == (len(pieces), 0, 0, 0)
+    report = packing.packing_report(packing.pack_texts(z, specs, group_items=150)).first()
+    assert report.containers == len(fill) and report.least_containers <= report.containers and report.proven_groups <= report.groups
     assert packing.pack_texts(z.limit(0), specs).count() == 0 and packing.pack_texts(z, specs.limit(0)).count() == 0
 
 
