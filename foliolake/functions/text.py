@@ -118,6 +118,11 @@ def repair_units(text: Column) -> Column:
     return F.regexp_replace(out, ascii_edges(r"(?i)(\d+)\s*(mg|ml)\s+\2\b"), "$1$2")
 
 
+def exact_edges(pattern: str, word: str = "0-9A-Za-z_") -> str:
+    """The pattern with boundaries between the given word characters and others, wherever they stand."""
+    return pattern.replace(r"\b", f"(?:(?<=[{word}])(?![{word}])|(?<![{word}])(?=[{word}]))")
+
+
 def count_all(text: Column, needles: tuple[str, ...]) -> Column:
     """Non-overlapping occurrences of every needle, summed."""
     total = F.lit(0)
@@ -250,7 +255,7 @@ TYPE_EVIDENCE = {
         (r"\b(?:sub-?total|total|amount\s+paid|balance\s+due|change\s+due)\b", 3),
         (r"\b(?:vat|gst|tax|cash|card|change|contactless|chip\s*&?\s*pin)\b", 2),
         (r"\b(?:visa|mastercard|master\s*card|amex|american\s+express)\b", 2),
-        (r"\b(?:supermarket|market|grocer|shop|store|restaurant|cafe|fuel|petrol|garage)\b", 2),
+        (r"\b(?:supermarket|market|grocer|shop|store|restaurant|cafe|café|fuel|petrol|garage)\b", 2),
         (r"\b(?:thank\s+you\s+for\s+shopping|please\s+come\s+again|items?|qty)\b", 2),
         (r"\b(?:opening\s+hours|tel|phone)\b", 1),
     ),
@@ -259,6 +264,7 @@ TYPE_EVIDENCE = {
         (r"\brx\b", 4),
         (r"\b(?:tablet|capsule|dose|dosage|sig|take\s+(?:one|two|1|2))\b", 3),
         (r"\b\d+\s*(?:mg|mcg|ml|iu|g)\b", 3),
+        (r"\b(?:once|twice|three\s+times|four\s+times)\s+(?:a|per|daily)\b|\bevery\s+\d+\s+hours\b|\b(?:prn|bd|tds|qds|as\s+needed)\b", 3),
         (r"\b(?:patient|prescriber|dispensed|dispense|pharmacy|chemist|repeats?|refills?)\b", 3),
         (r"\b(?:gp|doctor|dr\.?|physician|consultant|surgery|clinic|medical\s+cent(?:re|er))\b", 2),
         (r"\b(?:date\s+of\s+birth|dob|nhs|medicare|quantity)\b", 2),
@@ -268,7 +274,7 @@ TYPE_FLOOR = 5
 
 
 def evidence_score(text: Column, kind: str) -> Column:
-    return sum((F.when(F.lower(text).rlike(ascii_edges(p)), w).otherwise(0) for p, w in TYPE_EVIDENCE[kind]), F.lit(0))
+    return sum((F.when(F.lower(text).rlike(exact_edges(p)), w).otherwise(0) for p, w in TYPE_EVIDENCE[kind]), F.lit(0))
 
 
 def weighted_type(text: Column) -> Column:
@@ -279,7 +285,7 @@ def weighted_type(text: Column) -> Column:
     sure = 0.5 + 0.35 * (top - low) / F.greatest(top, F.lit(1)) + 0.15 * top / F.greatest(a + b, F.lit(1))
     named = top >= TYPE_FLOOR
     kind = F.when(~named, "unrecognised").when(a >= b, "receipt").otherwise("prescription")
-    return F.struct(kind.alias("type"), top.alias("score"), F.round(F.when(named, sure).otherwise(top / (2 * TYPE_FLOOR)), 4).alias("confidence"))
+    return F.struct(kind.alias("type"), top.alias("score"), F.when(named, sure).otherwise(top / (2 * TYPE_FLOOR)).alias("confidence"))
 
 
 def reconcile_views(first: Column, first_conf: Column, second: Column) -> Column:

@@ -53,8 +53,9 @@ def calendar_date(v: Column) -> Column:
     s = F.trim(v)
     tok = F.regexp_extract(s, r"^(\S*)", 1)
     part = lambda text, pattern, i: F.regexp_extract(text, pattern, i)
-    dmy, ymd = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4}|\d{2})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-    named = r"(?i)^(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?\s*,?\s*(\d{4}|\d{2})$"
+    # The written forms.
+    dmy, ymd = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{2}|\d{4})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
+    named = r"(?i)^(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?\s*,?\s*(\d{2}|\d{4})$"
     name = F.lower(part(s, named, 2))
     known = F.array_contains(F.array(*[F.lit(m) for m in (*MONTH_NAMES.split(), *MONTHS)]), name)
     month = F.when(known, F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(name, 1, 3)).cast("string"))

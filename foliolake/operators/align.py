@@ -7,6 +7,7 @@ is bounded by what one photograph holds.
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -23,14 +24,17 @@ def pair_lines(got: list, want: list) -> list[tuple[int | None, int | None]]:
     """(want index, got index) pairs: exact lines first, never crossing, then what
     is left in order; unmatched lines pair with None. Every line appears once."""
     pairs, next_got, free_want = [], 0, []
-    keys = [_clean(g) for g in got]
+    places: dict[str, list[int]] = {}
+    for i, g in enumerate(got):
+        places.setdefault(_clean(g), []).append(i)
     taken = set()
     for wi, w in enumerate(want):
-        try:
-            k = keys.index(_clean(w), next_got)
-        except ValueError:
+        at = places.get(_clean(w), [])
+        n = bisect_left(at, next_got)
+        if n == len(at):
             free_want.append(wi)
             continue
+        k = at[n]
         pairs.append((wi, k))
         taken.add(k)
         next_got = k + 1
@@ -62,7 +66,7 @@ def align_lines(lines: DataFrame, method: str = "monotone") -> DataFrame:
     pair = {"monotone": pair_lines, "difflib": difflib_pairs}[method]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_index", kind="stable")
+        pdf = pdf.sort_values(["line_index", *order], kind="stable")
         want = pdf.loc[pdf["side"] == "want", "text"].tolist()
         got = pdf.loc[pdf["side"] == "got", "text"].tolist()
         page = pdf["page_id"].iloc[0]
@@ -70,7 +74,8 @@ def align_lines(lines: DataFrame, method: str = "monotone") -> DataFrame:
         out = pd.DataFrame(rows, columns=["page_id", "want_index", "got_index", "want", "got"])
         return out.astype({"want_index": "Int32", "got_index": "Int32"})
 
-    return lines.select("page_id", "side", "line_index", "text").groupBy("page_id").applyInPandas(run, PAIR_SCHEMA)
+    order = [c for c in ("crop_id",) if c in lines.columns]  # breaks ties of the line
+    return lines.select("page_id", "side", "line_index", "text", *order).groupBy("page_id").applyInPandas(run, PAIR_SCHEMA)
 
 
 def iou_1d(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -106,10 +111,10 @@ def match_boxes(a: DataFrame, b: DataFrame, least: float = 0.5, cell: int = 64)
     return met.groupBy("page_id").applyInPandas(greedy, met.schema)
 
 
-def ordinal_join(a: DataFrame, b: DataFrame, page: str, order_a: str, order_b: str, equal_only: bool = True) -> DataFrame:
+def ordinal_join(a: DataFrame, b: DataFrame, page: str, order_a: str | list[str], order_b: str | list[str], equal_only: bool = True) -> DataFrame:
     """Pairs rows of a page by position. With ``equal_only``, pages whose counts
     differ are dropped; otherwise the longer side is cut."""
-    def numbered(df: DataFrame, order: str, tag: str) -> DataFrame:
+    def numbered(df: DataFrame, order: str | list[str], tag: str) -> DataFrame:
         w = Window.partitionBy(page)
         out = df.withColumn("__i", F.row_number().over(w.orderBy(order))).withColumn("__n", F.count("*").over(w))
         return out.select(F.col(page), "__i", F.col("__n").alias(f"__n_{tag}"), F.struct(*[c for c in df.columns if c != page]).alias(tag))
@@ -125,17 +130,22 @@ def nearest_below(labels: DataFrame, lines: DataFrame) -> DataFrame:
     lower edge, topmost, then leftmost, then first; the next line where boxes are missing.
 
     Lines are (page_id, line_index, text, x0, y0, y1), labels (page_id,
-    line_index). Within a page the join is a range join on y0.
+    line_index). Labels and lines of a page are sorted together once, from the
+    bottom up, and the last line is carried along: no pairs are formed. A line
+    of no height is never its own value.
     """
     at = labels.select("page_id", F.col("line_index").alias("label_index")).join(
         lines.select("page_id", F.col("line_index").alias("label_index"), F.col("y1").alias("edge")), ["page_id", "label_index"]
     )
     cand = lines.where(F.trim("text") != "").select("page_id", F.col("line_index").alias("i"), "x0", "y0")
-    below = at.join(cand, "page_id").where(
-        (F.col("i") != F.col("label_index"))
-        & F.when(F.col("edge").isNotNull(), F.col("y0") >= F.col("edge")).otherwise(F.col("i") == F.col("label_index") + 1)
-    )
-    return below.groupBy("page_id", "label_index").agg(F.min(F.struct("y0", "x0", "i")).alias("m")).select("page_id", "label_index", F.col("m.i").alias("value_index"))
+    asks = at.where("edge is not null").select("page_id", F.col("edge").alias("y"), F.lit(1).alias("ask"), "label_index")
+    both = cand.select("page_id", F.col("y0").alias("y"), F.lit(0).alias("ask"), "x0", "i").unionByName(asks, allowMissingColumns=True)
+    # Below an equal edge the lines come first; of equal lines the leftmost, then first, is the last one seen.
+    w = Window.partitionBy("page_id").orderBy(F.desc("y"), "ask", F.desc("x0"), F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("v", F.last("i", ignorenulls=True).over(w))
+    placed = seen.where("ask = 1 and v is not null and v <> label_index").select("page_id", "label_index", F.col("v").alias("value_index"))
+    after = at.where("edge is null").withColumn("i", F.col("label_index") + 1).join(cand.select("page_id", "i"), ["page_id", "i"])
+    return placed.unionByName(after.select("page_id", "label_index", F.col("i").alias("value_index")))
 
 
 def last_at_or_before(points: DataFrame, marks: DataFrame, key: str, at: str, mark: str, value: str) -> DataFrame:

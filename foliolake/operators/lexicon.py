@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliolake.functions.text import exact_edges
+
 
 def word_counts(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """(word, n) over an array column; null and empty arrays add nothing."""
@@ -110,17 +115,50 @@ def longest_match(texts: DataFrame, key: str, text: str, lexicon: DataFrame, nam
     return hits.groupBy(key).agg(F.max_by("__name", F.struct(F.length("__name").alias("l"), (-F.col("__seq")).alias("s"))).alias(name))
 
 
+# The patterns of each field class, in order.
+FIELD_GRAMMAR = {
+    "money": (
+        r"[£$€]\s?-?\s?\d[\d,]*(?:\.\d{2})?",
+        r"\b(?:GBP|USD|EUR)\s?-?\s?\d[\d,]*(?:\.\d{2})?",
+        r"\b\d[\d,]*\.\d{2}\b",
+        r"-\s?[£$€]?\s?\d[\d,]*(?:\.\d{2})?",
+    ),
+    "date": (
+        r"\b(?:0?[1-9]|[12]\d|3[01])/(?:0?[1-9]|1[0-2])/(?:\d{2}|\d{4})\b",
+        r"\b(?:0?[1-9]|[12]\d|3[01])-(?:0?[1-9]|1[0-2])-(?:\d{2}|\d{4})\b",
+        r"\b(?:0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b",
+        r"\b\d{4}-(?:0?[1-9]|1[0-2])-(?:0?[1-9]|[12]\d|3[01])\b",
+    ),
+    "dosage": (r"\b\d{1,4}(?:\.\d+)?\s?(?:MG|MCG|ML|G|TABLETS?|CAPSULES?)\b",),
+    "frequency": (
+        r"\bEVERY\s+\d+\s*(?:HOURS?|HRS?)\b",
+        r"\b\d+\s*TIMES?\s*(?:A\s*)?DAY\b",
+        r"\bONCE DAILY\b|\bTWICE DAILY\b|\bTHREE TIMES DAILY\b|\bAT BEDTIME\b",
+    ),
+    "account_masked": (r"\bENDING\s*(?:IN\s*)?\d{4}\b", r"\b[*X]{2,}\s*\d{4}\b"),
+    "sort_code": (r"\b\d{2}-\d{2}-\d{2}\b", r"\b\d{2}\s\d{2}\s\d{2}\b"),
+    "case_ref": (r"\b\d{4}-[A-Z]{2}-\d{3,8}\b",),
+    "iban": (r"\bGB\d{2}\s?[A-Z]{4}\s?[\dA-Z]{4}\s?\d{4}[\dA-Z]?\s?\d{4}\b",),
+}
+
+
+def _grammar(pattern: str) -> str:
+    return "(?i)" + exact_edges(pattern, r"\p{L}\p{N}_")
+
+
 def grammar_classes(token: Column) -> Column:
-    """All field classes whose pattern the token fits, in fixed order."""
-    # One pattern per class.
-    patterns = (
-        ("sort_code", r"^\d{2}-\d{2}-\d{2}$"),
-        ("date", r"^(\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2})$"),
-        ("money", r"^[£$€]?\d[\d,]*\.\d{2}$"),
-        ("dose", r"(?i)^\d+(\.\d+)?(mg|mcg|g|ml)$"),
-        ("case_ref", r"^\d{4}-[A-Z]{2}-\d{3,8}$"),
-        ("account", r"^\d{6,12}$"),
-        ("time", r"^\d{1,2}:\d{2}$"),
-        ("number", r"^\d+$"),
-    )
-    return F.filter(F.array(*[F.when(token.rlike(p), F.lit(n)) for n, p in patterns]), lambda x: x.isNotNull())
+    """All field classes with a pattern that stands somewhere in the token, in fixed order; none for null."""
+    t = F.upper(F.trim(F.coalesce(token, F.lit(""))))
+    fits = lambda patterns: reduce(or_, (t.rlike(_grammar(p)) for p in patterns))
+    return F.array_compact(F.array(*[F.when(fits(p), F.lit(n)) for n, p in FIELD_GRAMMAR.items()]))
+
+
+def mined_classes(lines: DataFrame, text: str) -> DataFrame:
+    """(class, value, n): every stretch of the lines that fits a class, upper case, and how often it stands there."""
+
+    def tagged(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(_grammar(pattern)), F.lit(0)), lambda v: F.struct(F.lit(name).alias("class"), F.upper(F.trim(v)).alias("value")))
+
+    found = [tagged(n, p) for n, patterns in FIELD_GRAMMAR.items() for p in patterns]
+    rows = lines.where(F.col(text).isNotNull()).select(F.explode(F.concat(*found)).alias("e")).select("e.*")
+    return rows.where("value <> ''").groupBy("class", "value").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliolake.functions import text
+from foliolake.functions.pages import PAGE_SQL, SPLIT_SQL, page_id, split_name
 from foliolake.operators import align, corpus, history
 from foliolake.operators.current import newest
 from foliolake.tables import table
@@ -43,7 +44,7 @@ def split_by_document(spark, sf_dir):
 
 def split_disjointness(spark, sf_dir):
     """Pages of the crops table whose own split column contradicts itself."""
-    c = _crops(spark, sf_dir).select(F.lower(F.trim("doc")).alias("doc"), F.lower(F.trim("split")).alias("split")).where("split <> ''")
+    c = _crops(spark, sf_dir).select(page_id(F.col("doc")).alias("doc"), split_name(F.col("split")).alias("split")).where("doc is not null and split is not null")
     return corpus.split_leaks(c, "doc")
 
 
@@ -86,16 +87,16 @@ def length_distribution(spark, sf_dir):
 def iqr_divergence(spark, sf_dir):
     """Each profile's median label length against the clean profile's, in its IQR."""
     per = length_distribution(spark, sf_dir)
-    base = per.where("profile = 'studio_clean'").first()
-    out = corpus.divergence(F.col("median"), F.lit(base.median), F.lit(base.iqr))
-    return per.where("profile is not null").select("profile", F.round(out, 9).alias("divergence"))
+    base = per.where("profile = 'studio_clean'").select(F.col("median").alias("b_median"), F.col("iqr").alias("b_iqr"))
+    out = corpus.divergence(F.col("median"), F.col("b_median"), F.col("b_iqr"))
+    return per.where("profile is not null").join(F.broadcast(base)).select("profile", F.round(out, 9).alias("divergence"))
 
 
 def profile_brackets(spark, sf_dir):
     per = length_distribution(spark, sf_dir)
-    base = per.where("profile = 'studio_clean'").first()
-    worst = corpus.worst_ratio([(F.col("median"), F.lit(base.median)), (F.col("mean"), F.lit(base["mean"]))])
-    return per.where("profile is not null").select("profile", F.round(worst, 6).alias("worst"))
+    base = per.where("profile = 'studio_clean'").select(F.col("median").alias("b_median"), F.col("mean").alias("b_mean"))
+    worst = corpus.worst_ratio([(F.col("median"), F.col("b_median")), (F.col("mean"), F.col("b_mean"))])
+    return per.where("profile is not null").join(F.broadcast(base)).select("profile", F.round(worst, 6).alias("worst"))
 
 
 def severity_monotone(spark, sf_dir):
@@ -144,13 +145,34 @@ def stable_seeds(spark, sf_dir):
 # --- alignment -----------------------------------------------------------------
 
 
+def _capture(profile):
+    """A capture profile without blanks, case or tag."""
+    return F.split(F.lower(F.trim(profile)), r"\+")[0]
+
+
+def _placed(spark, sf_dir):
+    """Current crops with a page, a capture profile and a place on the page."""
+    c = _crops(spark, sf_dir).select("crop_id", page_id(F.col("doc")).alias("page"), _capture(F.col("profile")).alias("capture"), "line_index", F.col("labels").alias("text"))
+    return c.where("page is not null and capture <> '' and line_index is not null")
+
+
+def _page_key():
+    return F.concat_ws("|", "page", "capture").alias("page_id")
+
+
+def _wanted(c):
+    """The clean lines of a page, once for every other capture of it."""
+    clean = c.where("capture = 'studio_clean'").drop("capture")
+    others = c.where("capture <> 'studio_clean'").select("page", "capture").distinct()
+    return clean.join(others, "page")
+
+
 def _sides(spark, sf_dir):
-    """Reading against reading of the same page: clean lines wanted, other profiles got."""
-    c = _crops(spark, sf_dir).where("doc is not null and profile is not null")
-    page = F.concat_ws("|", F.lower(F.trim("doc")), F.lit("page"))
-    want = c.where("profile = 'studio_clean'").select(page.alias("page_id"), F.lit("want").alias("side"), "line_index", F.col("labels").alias("text"))
-    got = c.where("profile = 'handheld_light'").select(page.alias("page_id"), F.lit("got").alias("side"), "line_index", F.col("labels").alias("text"))
-    return want.unionByName(got).where("line_index is not null")
+    """Reading against reading of the same page: clean lines wanted, each other capture's got."""
+    c = _placed(spark, sf_dir)
+    want = _wanted(c).select(_page_key(), F.lit("want").alias("side"), "line_index", "text", "crop_id")
+    got = c.where("capture <> 'studio_clean'").select(_page_key(), F.lit("got").alias("side"), "line_index", "text", "crop_id")
+    return want.unionByName(got)
 
 
 def align_monotone(spark, sf_dir):
@@ -178,25 +200,33 @@ def order_free_recall(spark, sf_dir):
 
 def count_matched_lines(spark, sf_dir):
     s = _sides(spark, sf_dir)
-    j = align.ordinal_join(s.where("side = 'want'").drop("side"), s.where("side = 'got'").drop("side"), "page_id", "line_index", "line_index")
+    j = align.ordinal_join(s.where("side = 'want'").drop("side"), s.where("side = 'got'").drop("side"), "page_id", ["line_index", "crop_id"], ["line_index", "crop_id"])
     return j.select("page_id", "ordinal", F.col("a.text").alias("want"), F.col("b.text").alias("got"))
 
 
-def _boxes(spark, sf_dir, profile, shift):
-    c = _crops(spark, sf_dir).where(F.col("profile") == profile).where("doc is not null and line_index is not null")
-    c = c.groupBy(F.lower(F.trim("doc")).alias("page_id"), "line_index").agg(F.min("crop_id").alias("id"), F.first(F.lit(0)).alias("z"))
-    return c.select("page_id", "id", (F.col("line_index") * 40 + shift).alias("y0"), (F.col("line_index") * 40 + 30 + shift).alias("y1"))
+def zipped_lines(spark, sf_dir):
+    """Lines paired by position, the longer side cut."""
+    s = _sides(spark, sf_dir)
+    j = align.ordinal_join(s.where("side = 'want'").drop("side"), s.where("side = 'got'").drop("side"), "page_id", ["line_index", "crop_id"], ["line_index", "crop_id"], equal_only=False)
+    return j.select("page_id", "ordinal", F.col("a.text").alias("want"), F.col("b.text").alias("got"))
+
+
+def _boxes(rows, shift):
+    """Lines as boxes of 30 at every 40; one box per place."""
+    b = rows.groupBy("page", "capture", "line_index").agg(F.min("crop_id").alias("id"))
+    return b.select(_page_key(), "id", (F.col("line_index") * 40 + shift).alias("y0"), (F.col("line_index") * 40 + 30 + shift).alias("y1"))
 
 
 def iou_matches(spark, sf_dir):
-    m = align.match_boxes(_boxes(spark, sf_dir, "studio_clean", 0), _boxes(spark, sf_dir, "handheld_light", 6), 0.5)
+    c = _placed(spark, sf_dir)
+    m = align.match_boxes(_boxes(_wanted(c), 0), _boxes(c.where("capture <> 'studio_clean'"), 6), 0.5)
     return m.select("page_id", "a_id", "b_id", F.round("iou", 9).alias("iou"))
 
 
 def next_line_values(spark, sf_dir):
     """The line below each short heading of a page."""
-    c = _crops(spark, sf_dir).where("doc is not null and profile = 'studio_clean' and line_index is not null and labels is not null")
-    lines = c.groupBy(F.lower(F.trim("doc")).alias("page_id"), "line_index").agg(F.min("labels").alias("text"))
+    c = _placed(spark, sf_dir).where("text is not null")
+    lines = c.groupBy(_page_key(), "line_index").agg(F.min("text").alias("text"))
     lines = lines.select("page_id", "line_index", "text", F.lit(0).alias("x0"), (F.col("line_index") * 40).alias("y0"), (F.col("line_index") * 40 + 30).alias("y1"))
     return align.nearest_below(lines.where(F.length("text") < 24), lines)
 
@@ -211,8 +241,7 @@ def last_event_before(spark, sf_dir):
 
 
 def page_texts(spark, sf_dir):
-    c = _crops(spark, sf_dir).where("doc is not null and profile = 'studio_clean' and labels is not null and line_index is not null")
-    lines = c.select(F.lower(F.trim("doc")).alias("page_id"), "line_index", F.col("labels").alias("text"), F.lit(0).alias("x0"), F.col("line_index").alias("y0"))
+    lines = _placed(spark, sf_dir).where("text is not null").select(_page_key(), "line_index", "text", F.lit(0).alias("x0"), F.col("line_index").alias("y0"))
     return align.reading_order(lines.distinct())
 
 
@@ -277,7 +306,7 @@ QUERIES = {
         scan_lineitem_pruned, scan_documents, dedupe_first, split_by_position, split_by_document, split_disjointness, stratified_folds, capped_crops,
         strided_crops, augmented_labels, rejection_funnel, label_length_histogram, length_distribution, iqr_divergence, profile_brackets,
         severity_monotone, nearest_profile, otsu_thresholds, ink_runs, line_pitch, width_batches, stable_seeds, align_monotone, align_difflib,
-        alignment_recall, order_free_recall, count_matched_lines, iou_matches, next_line_values, last_event_before, page_texts,
+        alignment_recall, order_free_recall, count_matched_lines, zipped_lines, iou_matches, next_line_values, last_event_before, page_texts,
         history_upsert, latest_wins, event_sessions, hourly_events, event_props, segment_cube, top_parts_per_brand, revenue_by_flag,
     )
 }
@@ -286,15 +315,23 @@ QUERIES = {
 
 _C = "(select * exclude (r) from (select *, row_number() over (partition by crop_id order by loaded_at desc nulls last, labels) r from crops) where r = 1)"
 _DIST = f"(select profile, count(chars) n, round(avg(chars), 9) mean, quantile_cont(chars, 0.25) p25, quantile_cont(chars, 0.5) median, quantile_cont(chars, 0.75) p75 from (select profile, length(labels)::double chars from {_C}) group by 1)"
-_SIDE = f"(select lower(trim(doc)) || '|page' page_id, line_index, labels as text from {_C} where doc is not null and profile = '{{0}}' and line_index is not null)"
-_PL = f"(select lower(trim(doc)) page_id, line_index, min(labels) as text from {_C} where doc is not null and profile = 'studio_clean' and line_index is not null and labels is not null group by 1, 2)"
+_PLACED = f"(select * from (select crop_id, {PAGE_SQL.format('doc')} page, split_part(lower(trim(profile)), '+', 1) capture, line_index, labels as text from {_C}) where page is not null and capture <> '' and line_index is not null)"
+_GOT = f"(select page || '|' || capture page_id, line_index, text, crop_id from {_PLACED} where capture <> 'studio_clean')"
+_WANT = f"(select p.page || '|' || o.capture page_id, p.line_index, p.text, p.crop_id from {_PLACED} p join (select distinct page, capture from {_PLACED} where capture <> 'studio_clean') o on o.page = p.page where p.capture = 'studio_clean')"
+_PL = f"(select page || '|' || capture page_id, line_index, min(text) as text from {_PLACED} where text is not null group by 1, 2)"
+
+
+def _zip_sql(equal: str) -> str:
+    side = lambda s: f"(select *, row_number() over (partition by page_id order by line_index, crop_id)::int o, count(*) over (partition by page_id) n from {s})"
+    return f"select a.page_id, a.o as ordinal, a.text want, b.text got from {side(_WANT)} a join {side(_GOT)} b on a.page_id = b.page_id and a.o = b.o {equal}"
+
 
 ORACLES = {
     "scan_lineitem_pruned": "select l_linestatus, count(*) n, round(sum(l_quantity), 2) quantity from lineitem where l_quantity >= 45 and l_returnflag = 'R' group by 1",
     "scan_documents": "select doc_id, coalesce(length(text), 0) chars, coalesce(lang, '') lang from documents",
     "dedupe_first": "select crop_id, labels from (select *, row_number() over (partition by lower(trim(labels)) order by loaded_at nulls first, crop_id, labels) r from crops where labels is not null) where r = 1",
     "split_by_position": "select doc_id, case when r <= t then 'train' when r <= t + v then 'val' else 'test' end as split from (select doc_id, row_number() over (order by doc_id) r, greatest(1, round_even(0.7 * count(*) over (), 0)) t, greatest(1, round_even(0.15 * count(*) over (), 0)) v from (select distinct doc_id from documents))",
-    "split_disjointness": f"select doc from (select lower(trim(doc)) doc, lower(trim(split)) s from {_C}) where s <> '' group by doc having min(s) <> max(s)",
+    "split_disjointness": f"select doc from (select {PAGE_SQL.format('doc')} doc, {SPLIT_SQL.format('split')} s from {_C}) where doc is not null group by doc having min(s) <> max(s)",
     "capped_crops": f"select crop_id from (select crop_id, row_number() over (partition by doc order by line_index nulls first, crop_id) r from {_C} where doc is not null and length(labels) >= 2) where r <= 40",
     "strided_crops": f"select crop_id from (select crop_id, row_number() over (partition by profile order by crop_id) - 1 r, greatest(1, count(*) over (partition by profile) // 50) s from {_C}) where r % s = 0 and r // s < 50",
     "augmented_labels": f"select crop_id, case when c > 0 and crop_id % 3 = c then translate(labels, '0158', 'OISB') else labels end labels, c as copy from {_C}, (select unnest([0, 1, 2])::int c) where labels is not null",
@@ -320,14 +357,17 @@ select doc, run::bigint run, min(p) as start, max(p) as "end", count(*) as lengt
     "width_batches": f"""with c as (select crop_id, profile, length(labels) w from {_C} where labels is not null),
 b as (select *, sum(n) over (partition by profile order by w, crop_id)::bigint bucket from (select *, case when w - lag(w) over (partition by profile order by w, crop_id) <= 3 then 0 else 1 end n from c))
 select profile, bucket, ((r - 1) // 32)::bigint batch, count(*) n from (select *, row_number() over (partition by profile, bucket order by w, crop_id) r from b) group by 1, 2, 3""",
-    "order_free_recall": f"""with a as (select page_id, w, count(*) n from (select page_id, unnest(regexp_extract_all(upper(text), '[0-9A-Z]+')) w from {_SIDE.format('studio_clean')} where text is not null) group by 1, 2),
-b as (select page_id, w, count(*) n from (select page_id, unnest(regexp_extract_all(upper(text), '[0-9A-Z]+')) w from {_SIDE.format('handheld_light')} where text is not null) group by 1, 2),
+    "order_free_recall": f"""with a as (select page_id, w, count(*) n from (select page_id, unnest(regexp_extract_all(upper(text), '[0-9A-Z]+')) w from {_WANT} where text is not null) group by 1, 2),
+b as (select page_id, w, count(*) n from (select page_id, unnest(regexp_extract_all(upper(text), '[0-9A-Z]+')) w from {_GOT} where text is not null) group by 1, 2),
 j as (select coalesce(a.page_id, b.page_id) page_id, coalesce(a.n, 0) x, coalesce(b.n, 0) y from a full join b on a.page_id = b.page_id and a.w = b.w)
 select page_id, sum(least(x, y))::bigint common, coalesce(round(sum(least(x, y)) / nullif(sum(x), 0), 9), 0) recall, coalesce(round(sum(least(x, y)) / nullif(sum(y), 0), 9), 0) as precision from j group by 1""",
-    "next_line_values": f"""select page_id, line_index as label_index, (select min(l.line_index) from {_PL} l where l.page_id = h.page_id and l.line_index * 40 >= h.line_index * 40 + 30 and trim(l.text) <> '') value_index from {_PL} h
- where length(text) < 24 and exists (select 1 from {_PL} l where l.page_id = h.page_id and l.line_index > h.line_index and trim(l.text) <> '')""",
+    "next_line_values": f"""select page_id, line_index as label_index, nxt as value_index from (select *, min(case when trim(text) <> '' then line_index end) over (partition by page_id order by line_index rows between 1 following and unbounded following) nxt from {_PL})
+ where length(text) < 24 and nxt is not null""",
+    "count_matched_lines": _zip_sql("where a.n = b.n"),
+    "zipped_lines": _zip_sql(""),
+    "stratified_folds": "select lang, f::int fold, (n - f + 4) // 5 n from (select lang, count(*) n from documents group by 1), (select unnest(range(0, 5)) f) where n > f",
     "last_event_before": """select event_id, round(m.value, 6) as value from (select event_id, user_id, ts from events where event_type = 'purchase') p asof left join (select user_id, ts, max(value) as value from events where event_type <> 'purchase' group by 1, 2) m on p.user_id = m.user_id and p.ts >= m.ts""",
-    "page_texts": f"select page_id, string_agg(text, chr(10) order by line_index, text) as text from (select distinct lower(trim(doc)) page_id, line_index, labels as text from {_C} where doc is not null and profile = 'studio_clean' and labels is not null and line_index is not null) group by 1",
+    "page_texts": f"select page_id, string_agg(text, chr(10) order by line_index, text) as text from (select distinct page || '|' || capture page_id, line_index, text from {_PLACED} where text is not null) group by 1",
     "history_upsert": "select record_id, doc, profile, loaded_at, ms from (select *, row_number() over (partition by record_id order by loaded_at desc nulls last) r from pipeline_raw_engine) where r = 1",
     "latest_wins": "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc nulls last, event_id desc) r from events) where r = 1",
     "event_sessions": """select user_id, session, count(*) events, round(sum(value), 4) as value from (select *, sum(n) over (partition by user_id order by ts, event_id)::bigint session from

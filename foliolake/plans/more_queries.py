@@ -26,7 +26,7 @@ def _truth(spark, sf_dir):
 
 def weighted_types(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", text.weighted_type(F.col("text")).alias("w")).select("doc_id", "w.type", "w.score", F.col("w.confidence").alias("confidence"))
+    return d.select("doc_id", text.weighted_type(F.col("text")).alias("w")).select("doc_id", "w.type", "w.score", F.round("w.confidence", 6).alias("confidence"))
 
 
 def reconciled_categories(spark, sf_dir):
@@ -178,14 +178,34 @@ _HITS = f"""(select page_id, len(s) spoken, len(t) truths, len(list_filter(s, la
  from (select coalesce(x.page_id, y.page_id) page_id, coalesce(s, []) s, coalesce(t, []) t from (select page_id, list(v) s from {_SAID} group by 1) x full join (select page_id, list(v) t from {_TRUE} group by 1) y on x.page_id = y.page_id))"""
 
 
-def _evidence(kind: str) -> str:
-    return " + ".join(f"case when regexp_matches(t, '{p}') then {w} else 0 end" for p, w in text.TYPE_EVIDENCE[kind])
-
+def _evidence(*patterns: tuple[str, int]) -> str:
+    return " + ".join(f"case when regexp_matches(t, '{p}') then {w} else 0 end" for p, w in patterns)
+
+
+_RECEIPT = _evidence(
+    (r"\b(?:receipt|till\s*(?:no|number|#)?|transaction\s*(?:no|number|id)|ref(?:erence)?\s*no)\b", 3),
+    (r"\b(?:sub-?total|total|amount\s+paid|balance\s+due|change\s+due)\b", 3),
+    (r"\b(?:vat|gst|tax|cash|card|change|contactless|chip\s*&?\s*pin)\b", 2),
+    (r"\b(?:visa|mastercard|master\s*card|amex|american\s+express)\b", 2),
+    (r"\b(?:supermarket|market|grocer|shop|store|restaurant|cafe|café|fuel|petrol|garage)\b", 2),
+    (r"\b(?:thank\s+you\s+for\s+shopping|please\s+come\s+again|items?|qty)\b", 2),
+    (r"\b(?:opening\s+hours|tel|phone)\b", 1),
+)
+_PRESCRIPTION = _evidence(
+    (r"\b(?:prescription|prescribed|repeat\s+prescription)\b", 4),
+    (r"\brx\b", 4),
+    (r"\b(?:tablet|capsule|dose|dosage|sig|take\s+(?:one|two|1|2))\b", 3),
+    (r"\b\d+\s*(?:mg|mcg|ml|iu|g)\b", 3),
+    (r"\b(?:once|twice|three\s+times|four\s+times)\s+(?:a|per|daily)\b|\bevery\s+\d+\s+hours\b|\b(?:prn|bd|tds|qds|as\s+needed)\b", 3),
+    (r"\b(?:patient|prescriber|dispensed|dispense|pharmacy|chemist|repeats?|refills?)\b", 3),
+    (r"\b(?:gp|doctor|dr\.?|physician|consultant|surgery|clinic|medical\s+cent(?:re|er))\b", 2),
+    (r"\b(?:date\s+of\s+birth|dob|nhs|medicare|quantity)\b", 2),
+)
 
 ORACLES = {
     "weighted_types": f"""select doc_id, case when greatest(a, b) < 5 then 'unrecognised' when a >= b then 'receipt' else 'prescription' end as type, greatest(a, b) score,
- round(case when greatest(a, b) >= 5 then 0.5 + 0.35 * (greatest(a, b) - least(a, b)) / greatest(a, b, 1) + 0.15 * greatest(a, b) / greatest(a + b, 1) else greatest(a, b) / 10 end, 4) confidence
-from (select doc_id, {_evidence('receipt')} a, {_evidence('prescription')} b from (select doc_id, lower(text) t from documents where text is not null))""",
+ round(case when greatest(a, b) >= 5 then 0.5 + 0.35 * (greatest(a, b) - least(a, b)) / greatest(a, b, 1) + 0.15 * greatest(a, b) / greatest(a + b, 1) else greatest(a, b) / 10 end, 6) confidence
+from (select doc_id, {_RECEIPT} a, {_PRESCRIPTION} b from (select doc_id, lower(text) t from documents where text is not null))""",
     "known_values_found": f"select profile, sum(len(list_filter(coalesce(expected_fields, []), lambda k: length({_n('k')}) > 0 and contains({_n('ocr_text')}, {_n('k')}))))::bigint found, sum(coalesce(len(expected_fields), 0))::bigint asked from {_PG} where ocr_text is not null group by 1",
     "legible_crops": f"""select crop_id, coalesce(hi - lo >= 28 and len(list_filter(v, lambda x: x < (hi + lo) / 2)) / greatest(len(v), 1) >= 0.01, false) legible, coalesce(length(labels) between 2 and 47 and w / greatest(length(labels), 1) >= 12, false) dense
 from (select *, list_max(v) hi, list_min(v) lo from (select crop_id, labels, list_transform(flatten(crop), lambda x: ((x::int % 256) + 256) % 256) v, len(crop[1]) * 12 w from {_C} where crop is not null))""",

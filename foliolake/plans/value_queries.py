@@ -59,7 +59,7 @@ def pattern_fields(spark, sf_dir):
 
 
 def entity_counts(spark, sf_dir):
-    found = fields.entities(table(spark, sf_dir, "documents"), "doc_id", "text", ["Paracetamol", "Amoxicillin", "Ibuprofen"])
+    found = fields.entities(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -124,9 +124,9 @@ def char_trigrams(spark, sf_dir):
 def char_lm_logp(spark, sf_dir):
     base = _tokens(spark, sf_dir).select(text.clean_to_charset(F.col("labels")).alias("t"))
     c1, c2, c3 = (lexicon.char_grams(base, "t", k) for k in (1, 2, 3))
-    asked = _counts(spark, sf_dir).where(F.length("word") >= 3).select(
-        F.substring("word", 1, 2).alias("ctx"), F.substring("word", 3, 1).alias("ch")
-    ).distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substring(F.col("word"), i, F.lit(3)))
+    g = _counts(spark, sf_dir).where(F.length("word") >= 3).select(F.explode(grams).alias("g")).distinct()
+    asked = g.select(F.substring("g", 1, 2).alias("ctx"), F.substring("g", 3, 1).alias("ch"))
     out = lexicon.backoff_logp(asked, c1, c2, c3)
     return out.select("ctx", "ch", F.round("logp", 9).alias("logp"))
 
@@ -171,8 +171,14 @@ def longest_name_match(spark, sf_dir):
 
 
 def grammar_classes(spark, sf_dir):
-    v = _values(spark, sf_dir).select(F.explode(F.split("value", " ")).alias("token")).distinct()
-    return v.select("token", F.array_join(lexicon.grammar_classes(F.col("token")), ",").alias("classes"))
+    v = _values(spark, sf_dir)
+    return v.select("value", F.array_join(lexicon.grammar_classes(F.col("value")), ",").alias("classes"))
+
+
+def grammar_lexicon(spark, sf_dir):
+    """Values of each field class in the expected texts."""
+    e = table(spark, sf_dir, "pipeline_raw_engine").select("expected_text").distinct()
+    return lexicon.mined_classes(e, "expected_text")
 
 
 # --- sequences ---------------------------------------------------------------
@@ -232,7 +238,7 @@ QUERIES = {
         for f in (
             canonical_values, labels_resolved, amounts, relative_days, pattern_fields, entity_counts, typed_values, spotted_labels,
             proximity_values, policy_verdicts, policy_summary, word_counts, bigrams_top12, char_trigrams, char_lm_logp, trie_prefix_weights,
-            lexicon_coverage, lexicon_union, lexicon_overlap, mined_lexicon, floored_lexicon, longest_name_match, grammar_classes,
+            lexicon_coverage, lexicon_union, lexicon_overlap, mined_lexicon, floored_lexicon, longest_name_match, grammar_classes, grammar_lexicon,
             charset_round_trip, ctc_greedy, ctc_beam, embedding_norms, mean_pooled, text_chunks, wrapped_pages,
         )
     },
@@ -256,6 +262,65 @@ def _check(reason: str) -> str:
     return f"select value, r is null as ok, coalesce(r, 'ok') reason from (select value, {reason} r from {_V} where value is not null)"
 
 
+def _found(label: str, pattern: str, groups: int = 1) -> str:
+    if groups == 1:
+        return f"regexp_extract_all(t, '{pattern}', 1)"
+    return f"list_transform(list_zip(regexp_extract_all(t, '{pattern}', 1), regexp_extract_all(t, '{pattern}', 2)), lambda z: z[1] || ' ' || z[2])"
+
+
+_PATTERN_SQL = " union all ".join(
+    f"select record_id, '{label}' as label, {_found(label, pattern, groups)} v from e where c = '{c}'"
+    for c, label, pattern, groups in (
+        ("medical", "Medication", r"(?i)(?:Rx\s*:\s*|medication\s*:\s*|prescription\s+for\s+)([A-Z][a-z]+(?:\s\d{1,4}\s?mg)?)", 1),
+        ("medical", "Dosage", r"(?i)(\d{1,4}[\dOo]?)\s*(m[gq]|m1|1m|mL|mI|tab1ets?|tablets?|capsul[ce]s?)", 2),
+        ("medical", "Frequency", r"(?i)(every\s*\d+\s*(?:hours?|hrs)|\d+\s*times?\s*(?:a\s*)?day|once daily|twice daily|three times daily|at bedtime)", 1),
+        ("medical", "Warning", r"(?i)((?:WARNING|Caution|Do not|Avoid|May cause|Consult|Keep out)[^.\n]+)", 1),
+        ("medical", "Patient", r"(?:[Pp]atient|[Nn]ame|[Aa]ccount [Hh]older)\s*[:#]?\s*([A-Z][a-z]+\s+[A-Z][a-z]+)", 1),
+        ("banking", "Account Number", r"(?i)account\s*(?:no|number)?\s*[:#]?\s*(\d{6,12})", 1),
+        ("banking", "Sort Code", r"(?i)sort\s*code\s*[:#]?\s*(\d{2}[-\s]?\d{2}[-\s]?\d{2})", 1),
+        ("banking", "IBAN", r"(?i)(GB\d{2}\s?[A-Z]{4}\s?[\dA-Z]{4}\s?\d{4}[\dA-Z]?\s?\d{4})", 1),
+        ("banking", "Balance", r"(?i)(?:balance|available)\s*[:#]?\s*(?:£|\$|€)?\s*([\d,]+\.\d{2})", 1),
+        ("banking", "Card Ending", r"(?i)(?:card\s+)?ending\s*(?:in\s*)?(\d{4})", 1),
+        ("banking", "Amount", r"(£|\$|€)\s*([\d,]+\.\d{2})", 2),
+        ("legal", "Case Number", r"(?i)(?:case|matter)\s*(?:no|number|reference|ref)?\s*[:#.]?\s*([\w-]+-\d+)", 1),
+        ("legal", "Date", r"(?i)(\d{1,2}(?:st|nd|rd|th)?\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}|\d{1,2}/\d{1,2}/\d{2,4})", 1),
+        ("legal", "Clause", r"(?i)(?:clause|section)\s+(\d+(?:\.\d+)?)", 1),
+        ("legal", "Parties", r"(?i)between\s+([A-Z][\w\s]{2,40}?)\s+and\s+([A-Z][\w\s]{2,40})", 2),
+        ("general", "Date", r"(\d{1,2}/\d{1,2}/\d{2,4})", 1),
+        ("general", "Phone", r"(\+?\d{3,4}[\s-]?\d{3,4}[\s-]?\d{3,4})", 1),
+        ("general", "Email", r"([\w.+-]+@[\w-]+\.[\w.-]+)", 1),
+        ("general", "Time", r"(?i)(\d{1,2}:\d{2}\s*(?:am|pm)?)", 1),
+    )
+)
+
+_GRAMMAR_SQL = (
+    ("money", (r"[£$€]\s?-?\s?\d[\d,]*(?:\.\d{2})?", r"\b(?:GBP|USD|EUR)\s?-?\s?\d[\d,]*(?:\.\d{2})?", r"\b\d[\d,]*\.\d{2}\b", r"-\s?[£$€]?\s?\d[\d,]*(?:\.\d{2})?")),
+    ("date", (
+        r"\b(?:0?[1-9]|[12]\d|3[01])/(?:0?[1-9]|1[0-2])/(?:\d{2}|\d{4})\b", r"\b(?:0?[1-9]|[12]\d|3[01])-(?:0?[1-9]|1[0-2])-(?:\d{2}|\d{4})\b",
+        r"\b(?:0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b",
+        r"\b\d{4}-(?:0?[1-9]|1[0-2])-(?:0?[1-9]|[12]\d|3[01])\b")),
+    ("dosage", (r"\b\d{1,4}(?:\.\d+)?\s?(?:MG|MCG|ML|G|TABLETS?|CAPSULES?)\b",)),
+    ("frequency", (r"\bEVERY\s+\d+\s*(?:HOURS?|HRS?)\b", r"\b\d+\s*TIMES?\s*(?:A\s*)?DAY\b", r"\bONCE DAILY\b|\bTWICE DAILY\b|\bTHREE TIMES DAILY\b|\bAT BEDTIME\b")),
+    ("account_masked", (r"\bENDING\s*(?:IN\s*)?\d{4}\b", r"\b[*X]{2,}\s*\d{4}\b")),
+    ("sort_code", (r"\b\d{2}-\d{2}-\d{2}\b", r"\b\d{2}\s\d{2}\s\d{2}\b")),
+    ("case_ref", (r"\b\d{4}-[A-Z]{2}-\d{3,8}\b",)),
+    ("iban", (r"\bGB\d{2}\s?[A-Z]{4}\s?[\dA-Z]{4}\s?\d{4}[\dA-Z]?\s?\d{4}\b",)),
+)
+
+#: A label's field and kind, first match first; the SQL's own list.
+_LABEL_SQL = """(values (1, 'sort code', 'sort_code', 'sort_code'), (2, 'account number', 'account_number', 'account'), (3, 'account no', 'account_number', 'account'),
+ (4, 'card ending', 'card_ending', 'account'), (5, 'ending in', 'card_ending', 'account'), (6, 'ending', 'card_ending', 'account'), (7, 'account holder', 'account_holder', 'general'),
+ (8, 'opening balance', 'opening_balance', 'money'), (9, 'closing balance', 'closing_balance', 'money'), (10, 'available funds', 'available_funds', 'money'),
+ (11, 'balance', 'balance', 'money'), (12, 'amount', 'amount', 'money'), (13, 'date of birth', 'date_of_birth', 'date'), (14, 'dob', 'date_of_birth', 'date'), (15, 'date', 'date', 'date'),
+ (16, 'case reference', 'case_number', 'identifier'), (17, 'case number', 'case_number', 'identifier'), (18, 'case ref', 'case_number', 'identifier'), (19, 'case no', 'case_number', 'identifier'),
+ (20, 'matter', 'case_number', 'identifier'), (21, 'iban', 'iban', 'general'), (22, 'dosage', 'dosage', 'dosage'), (23, 'dose', 'dosage', 'dosage'), (24, 'prescription for', 'medication', 'general'),
+ (25, 'medication', 'medication', 'general'), (26, 'rx', 'medication', 'general'), (27, 'frequency', 'frequency', 'general'), (28, 'patient', 'patient', 'general'), (29, 'name', 'patient', 'general'),
+ (30, 'warning', 'warning', 'general'), (31, 'caution', 'warning', 'general'), (32, 'clause', 'clause', 'general'), (33, 'section', 'clause', 'general'), (34, 'phone', 'phone', 'general'),
+ (35, 'email', 'email', 'general'), (36, 'time', 'time', 'general'), (37, 'period', 'period', 'general'), (38, 'property', 'property', 'general'), (39, 'term', 'term', 'general')) l(k, needle, field, kind)"""
+
+_MONTHS = "['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec']"
+_MONTH_NAMES = "['january','february','march','april','may','june','july','august','september','october','november','december']"
+
 _MONEY_BODY = r"regexp_replace(regexp_replace(trim(value), '(?i)^(?:\s*(?:[£$€]|GBP|USD|EUR)\s*)+', ''), '(?i)(?:\s*(?:[£$€]|GBP|USD|EUR)\s*)+$', '')"
 ORACLES = {
     "validate_sort_code": _check(
@@ -286,7 +351,7 @@ from (select value, length(regexp_replace(coalesce(list_filter(string_split_rege
  select tokens[i] prev, tokens[i + 1] as "next", count(*) n from (select tokens, unnest(range(1, len(tokens))) i from {_TOK}) group by 1, 2)) where rank <= 12""",
     "char_trigrams": f"select * from {_grams(3)}",
     "char_lm_logp": f"""with c1 as {_grams(1)}, c2 as {_grams(2)}, c3 as {_grams(3)},
-q as (select distinct substring(word, 1, 2) ctx, substring(word, 3, 1) ch from {_WC} where length(word) >= 3),
+q as (select distinct substring(word, i, 2) ctx, substring(word, i + 2, 1) ch from (select word, unnest(range(1, length(word) - 1)) i from {_WC} where length(word) >= 3)),
 t3 as (select substring(gram, 1, 2) ctx, sum(n) t from c3 group by 1), t2 as (select substring(gram, 1, 1) c, sum(n) t from c2 group by 1), t1 as (select sum(n) t, count(*) v from c1)
 select q.ctx, q.ch, round(ln(case when c3.n is not null then c3.n / t3.t when c2.n is not null then 0.4 * c2.n / t2.t else 0.16 * (coalesce(c1.n, 0) + 1) / (t1.t + t1.v) end), 9) logp
 from q left join c3 on c3.gram = q.ctx || q.ch left join t3 on t3.ctx = q.ctx left join c2 on c2.gram = substring(q.ctx, 2, 1) || q.ch left join t2 on t2.c = substring(q.ctx, 2, 1) left join c1 on c1.gram = q.ch cross join t1""",
@@ -304,14 +369,43 @@ select crop_id, nm as name from (select crop_id, nm, row_number() over (partitio
     "amounts": r"select value, replace(regexp_extract(value, '[0-9.,]+'), ',', '')::double amount, case when contains(value, '.') then '.' end decimal_sep, not contains(value, '.') and contains(value, ',') and len(string_split(value, ',')) = 2 ambiguous from "
     + _V
     + r" where regexp_full_match(value, '[A-Z]{3} [0-9.,]+')",
-    "pattern_fields": None,
-    "entity_counts": r"""select label, count(*) n from (
- select distinct doc_id, 'NAME' as label, unnest(regexp_extract_all(text, '(?i)\b(?:Paracetamol|Amoxicillin|Ibuprofen)\b')) v from documents union
- select doc_id, 'DOSE', unnest(regexp_extract_all(text, '(?i)\b\d{1,4}(?:\.\d+)?\s?(?:mg|mcg|ml|g)\b')) from documents union
- select doc_id, 'MONEY', unnest(regexp_extract_all(text, '(?:[£$€]|\b(?:GBP|USD|EUR)\b)\s?\d[\d,]*(?:\.\d{2})?')) from documents union
- select doc_id, 'DATE', unnest(regexp_extract_all(text, '\b(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})\b')) from documents union
- select doc_id, 'CODE', unnest(regexp_extract_all(text, '\b[A-Z0-9]{4}-[A-Z0-9]{2,4}-[A-Z0-9]{3,8}\b')) from documents) group by 1""",
-    "embedding_norms": "select vec_id, 1.0::double as length, round(exp(embedding[1]::double) / list_sum(list_transform(embedding, lambda x: exp(x::double))), 6) as first from embeddings",
+    "pattern_fields": f"""with e as (select record_id, ocr_text t, coalesce(case when expected_category in ('medical', 'banking', 'legal') then expected_category end, 'general') c
+  from (select *, row_number() over (partition by record_id order by loaded_at desc nulls last, ocr_text nulls first) r from pipeline_raw_engine) where r = 1 and ocr_text is not null),
+f as ({_PATTERN_SQL}),
+k as (select record_id, label, list_filter(list_transform(v, lambda x: trim(x, ' ')), lambda x: length(x) > 1)[:6] v from f)
+select record_id, label, (generate_subscripts(v, 1) - 1)::int ordinal, unnest(v) as value from k""",
+    "entity_counts": r"""with d as (select doc_id, text t from documents where text is not null),
+drugs as (select unnest(['Amoxicillin','Metformin','Lisinopril','Atorvastatin','Amlodipine','Ibuprofen','Paracetamol','Aspirin','Omeprazole','Simvastatin','Warfarin','Insulin','Prednisolone',
+  'Sertraline','Citalopram','Ramipril','Bisoprolol','Salbutamol','Codeine','Tramadol','Diclofenac','Naproxen']) n),
+e as (select doc_id, 'DRUG' as label, n v from d join drugs on regexp_matches(t, '(?i)\b' || n || '\b')
+ union all select doc_id, 'DOSAGE', unnest(regexp_extract_all(t, '(?i)(?:^|[^\d])(\d{1,4}\s*(?:mg|ml|mcg|micrograms?|tablets?|capsules?))\b', 1)) from d
+ union all select doc_id, 'MONEY', unnest(list_transform(list_zip(regexp_extract_all(t, m, 1), regexp_extract_all(t, m, 2), regexp_extract_all(t, m, 3)), lambda z: concat(z[1], z[2], z[3]))) from d, (select '(?i)(£|\$|€)\s*([\d,]+\.\d{2})|\b([\d,]+\.\d{2})\s*(?:GBP|USD|EUR)' m)
+ union all select doc_id, 'DATE', unnest(regexp_extract_all(t, '(?i)\b(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}|\d{1,2}(?:st|nd|rd|th)?\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4})\b', 1)) from d
+ union all select doc_id, 'ORG', unnest(regexp_extract_all(t, '(?i)\b(HSBC|Barclays|Lloyds|NatWest|Santander|NHS|Halifax|TSB|Monzo|Revolut)\b', 1)) from d
+ union all select doc_id, 'PERSON', unnest(regexp_extract_all(t, '(?:patient|name|account holder)\s*[:#]\s*([A-Z][a-z]+\s+[A-Z][a-z]+)', 1)) from d)
+select label, count(*) n from (select distinct doc_id, label, trim(v) v from e where length(trim(v)) > 1) group by 1""",
+    "grammar_classes": "select value, array_to_string(list_filter(["
+    + ", ".join(f"case when {' or '.join(f"regexp_matches(upper(trim(value)), '(?i){p}')" for p in ps)} then '{n}' end" for n, ps in _GRAMMAR_SQL)
+    + f"], lambda x: x is not null), ',') classes from {_V} where value is not null",
+    "grammar_lexicon": "with t as (select distinct expected_text t from pipeline_raw_engine where expected_text is not null), f as ("
+    + " union all ".join(f"select '{n}' as class, unnest(regexp_extract_all(t, '(?i){p}')) v from t" for n, ps in _GRAMMAR_SQL for p in ps)
+    + ") select class, upper(trim(v)) as value, count(*) n from f where trim(v) <> '' group by 1, 2",
+    "labels_resolved": f"""with c as (select distinct labels, lower(trim(labels)) low from crops where labels is not null),
+h as (select labels, field, kind, row_number() over (partition by labels order by k) r from c join {_LABEL_SQL} on regexp_matches(low, '(?:^|[^a-z])' || needle || '(?:[^a-z]|$)')),
+s as (select labels, regexp_replace(regexp_replace(low, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') slug from c)
+select s.labels, coalesce(h.field, case when slug = '' then 'field' else slug end) field, coalesce(h.kind, 'general') kind from s left join h on h.labels = s.labels and h.r = 1""",
+    "validate_date": rf"""with v as (select value, trim(value) s, regexp_extract(trim(value), '^(\S*)', 1) tok from {_V} where value is not null),
+p as (select *, lower(regexp_extract(s, '(?i)^(\d{{1,2}})(?:st|nd|rd|th)?\s+([A-Za-z]{{3,9}})\.?\s*,?\s*(\d{{2}}|\d{{4}})$', 2)) nm from v),
+q as (select value, case
+  when regexp_full_match(tok, '\d{{8}}') then case when substring(tok, 1, 2)::int > 31 or substring(tok, 3, 2)::int > 12 then [substring(tok, 1, 4), substring(tok, 5, 2), substring(tok, 7, 2)] else [substring(tok, 5, 4), substring(tok, 3, 2), substring(tok, 1, 2)] end
+  when regexp_full_match(tok, '\d{{1,2}}[/-]\d{{1,2}}[/-](?:\d{{2}}|\d{{4}})') then [regexp_extract(tok, '[/-](\d+)$', 1), regexp_extract(tok, '^\d+[/-](\d+)', 1), regexp_extract(tok, '^(\d+)', 1)]
+  when regexp_full_match(tok, '\d{{4}}-\d{{1,2}}-\d{{1,2}}') then string_split(tok, '-')
+  when list_contains({_MONTHS}, nm) or list_contains({_MONTH_NAMES}, nm) then [regexp_extract(s, '(\d+)$', 1), list_position({_MONTHS}, nm[1:3])::varchar, regexp_extract(s, '^(\d+)', 1)] end x from p),
+d as (select value, try_cast(lpad((case when x[1]::int < 100 then x[1]::int + 2000 else x[1]::int end)::varchar, 4, '0') || '-' || lpad(x[2], 2, '0') || '-' || lpad(x[3], 2, '0') as date) d from q)
+select value, d is not null as ok, case when d is not null then 'ok' else 'not a calendar date' end reason from d""",
+    "ctc_greedy": f"select crop_id, array_to_string(list_filter(list_transform(range(1, length(t) + 1), lambda i: case when i = 1 or t[i] <> t[i - 1] then t[i] end), lambda x: x is not null), '') decoded from {_CH}",
+    "masked_codes": None,
+    "embedding_norms": "select vec_id, round(list_sum(list_transform(embedding, lambda x: (x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) ** 2)), 6) as length, round(exp(embedding[1]::double) / list_sum(list_transform(embedding, lambda x: exp(x::double))), 6) as first from embeddings",
     "mean_pooled": "select label, dim, round(avg(v::double), 6) mean from (select label, unnest(embedding) v, unnest(range(0, len(embedding)))::int dim from embeddings) group by 1, 2",
     "relative_days": """select day::varchar as day, phrase, (case phrase when 'today' then day when 'tomorrow' then day + 1 when 'yesterday' then day - 1 when 'in 3 days' then day + 3 when 'in 2 weeks' then day + 14
  when 'in 1 month' then (day + interval 1 month)::date when '5 days ago' then day - 5 when '2 weeks ago' then day - 14 when 'next week' then day + 7 when 'next month' then (day + interval 1 month)::date
