@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,32 @@ def edits(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+#: Normal forms in which texts are compared, by name.
+FORMS = {"label": norm_label, "bench": norm, "receipt": comparison_form, "raw": lambda c: c}
+
+
+def with_distances(df: DataFrame, ref: str, hyp: str, forms: tuple[str, ...] = tuple(FORMS)) -> DataFrame:
+    """``df`` with, per form, the lengths and the edit distance: n_<form>, m_<form>, d_<form>.
+
+    Each normal form is made once and each pair compared once, whatever rates
+    are taken from it afterwards. Null texts count as empty.
+    """
+    made = {f"{side}_{f}": FORMS[f](_blank(F.col(c))) for f in forms for side, c in (("__a", ref), ("__b", hyp))}
+    rows = df.select("*", *[c.alias(n) for n, c in made.items()])
+    # Exact at any length: first within a narrow band, then a wider one, then in full. Each step
+    # is a projection of its own, so that no distance is taken twice.
+    for width in (1, 3, 0):
+        step = {}
+        for f in forms:
+            x, y, d = F.col(f"__a_{f}"), F.col(f"__b_{f}"), F.col(f"d_{f}")
+            band = (F.lit(24) + F.floor(F.length(x) / 24).cast("int")) * width
+            here = F.call_function("levenshtein", x, y, band) if width else F.levenshtein(x, y)
+            step[f"d_{f}"] = here if width == 1 else F.when(d >= 0, d).otherwise(here)
+        rows = rows.withColumns(step)
+    sizes = {f"{n}_{f}": F.length(F.col(f"{side}_{f}")) for f in forms for n, side in (("n", "__a"), ("m", "__b"))}
+    return rows.select(*df.columns, *[c.alias(n) for n, c in sizes.items()], *[f"d_{f}" for f in forms])
+
+
 def edits_capped(a: Column, b: Column, cap: int) -> Column:
     """Edit distance, or cap + 1 for anything above the cap."""
     d = F.levenshtein(a, b, cap)
@@ -62,6 +88,13 @@ def cer_receipt(ref: Column, hyp: Column) -> Column:
     return F.try_divide(edits(r, h), F.length(r))
 
 
+def bound(f, *cols: Column) -> Column:
+    """f(*cols) with each column evaluated once: inside a lambda an outer expression would be evaluated for every element."""
+    names = [f"c{i}" for i in range(len(cols))]
+    one = F.transform(F.array(F.struct(*[c.alias(n) for c, n in zip(cols, names)])), lambda s: f(*[s[n] for n in names]))
+    return F.element_at(one, 1)
+
+
 def word_accuracy(ref: Column, hyp: Column) -> Column:
     """Share of reference words, repeats counted, whose scoring form is among the hypothesis' words.
 
@@ -70,8 +103,8 @@ def word_accuracy(ref: Column, hyp: Column) -> Column:
     """
     strip = lambda w: norm(w)
     g, h = F.transform(words(_blank(ref)), strip), F.transform(words(_blank(hyp)), strip)
-    hits = F.size(F.filter(g, lambda w: F.array_contains(h, w)))
-    return F.when(F.size(g) == 0, F.lit(0.0)).otherwise(hits / F.size(g))
+    share = lambda g, h: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.filter(g, lambda w: F.array_contains(h, w))) / F.size(g))
+    return bound(share, g, h)
 
 
 def set_word_accuracy(ref: Column, hyp: Column) -> Column:
@@ -82,11 +115,12 @@ def set_word_accuracy(ref: Column, hyp: Column) -> Column:
 
 def multiset_overlap(a: Column, b: Column) -> Column:
     """Size of the intersection of two arrays with repeats."""
-    return F.aggregate(
+    common = lambda a, b: F.aggregate(
         F.array_distinct(a),
         F.lit(0),
         lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))),
     )
+    return bound(common, a, b)
 
 
 def exact_label(ref: Column, hyp: Column) -> Column:

@@ -274,7 +274,7 @@ TYPE_FLOOR = 5
 
 
 def evidence_score(text: Column, kind: str) -> Column:
-    return sum((F.when(F.lower(text).rlike(exact_edges(p)), w).otherwise(0) for p, w in TYPE_EVIDENCE[kind]), F.lit(0))
+    return sum((F.when(F.lower(text).rlike(ascii_edges(p) if p.isascii() else exact_edges(p)), w).otherwise(0) for p, w in TYPE_EVIDENCE[kind]), F.lit(0))
 
 
 def weighted_type(text: Column) -> Column:

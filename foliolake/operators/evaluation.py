@@ -18,8 +18,6 @@ from foliolake.functions.text import norm_label
 
 #: Profiles no human can read; reported, but kept out of headlines.
 SUB_HUMAN = ("worst_case",)
-#: Edit distance is quadratic in length: longer texts are compared word by word (see record_scores).
-CHARACTER_LIMIT = 20_000
 
 
 def record_scores(records: DataFrame) -> DataFrame:
@@ -31,14 +29,15 @@ def record_scores(records: DataFrame) -> DataFrame:
     """
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     live = lambda c: F.when(failed, F.lit(0.0)).otherwise(c)
-    return records.select(
-        "*",
+    cer = F.when(F.col("n_bench") == 0, F.col("m_bench").cast("double")).otherwise(F.col("d_bench") / F.col("n_bench"))
+    return metrics.with_distances(records, "expected_text", "ocr_text", ("bench",)).select(
+        *records.columns,
         failed.alias("failed"),
         F.size(F.coalesce("expected_fields", F.array().cast("array<string>"))).alias("n_expected"),
         F.when(failed, 0).otherwise(metrics.recovered_count(F.col("expected_fields"), F.col("fields"))).alias("n_recovered"),
         (~failed & F.coalesce(F.col("category") == F.col("expected_category"), F.lit(False))).cast("int").alias("class_ok"),
         live(metrics.word_accuracy(F.col("expected_text"), F.col("ocr_text"))).alias("word_acc"),
-        live(metrics.cer_bench(F.col("expected_text"), F.col("ocr_text"))).alias("cer"),
+        live(cer).alias("cer"),
     )
 
 

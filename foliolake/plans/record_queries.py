@@ -10,8 +10,6 @@ from foliolake.operators import evaluation as ev
 from foliolake.operators.current import newest
 from foliolake.tables import table
 
-#: Scores compare texts by edit distance, which is quadratic: readings are pages, a few thousand characters each.
-
 
 def _current(spark: SparkSession, sf_dir: str, name: str = "pipeline_raw_engine") -> DataFrame:
     df = table(spark, sf_dir, name)
@@ -60,11 +58,13 @@ def category_macro_f1(spark, sf_dir):
 def cer_micro_macro(spark, sf_dir):
     """Plain ASCII on both sides: engines count other characters differently in edit distances."""
     r = _current(spark, sf_dir).where("expected_text is not null and ocr_text is not null")
-    a, b = (F.regexp_replace(c, r"[^\x00-\x7f]", "-") for c in ("expected_text", "ocr_text"))
-    out = r.groupBy("profile").agg(
-        metrics.cer_aggregate(a, b).alias("micro"), F.avg(metrics.cer_label(a, b)).alias("macro"),
-        F.avg(metrics.cer_bench(a, b)).alias("bench"), F.avg(metrics.cer_receipt(a, b)).alias("receipt"),
-        F.avg(metrics.cer_repair(a, b)).alias("raw"),
+    plain = r.select("profile", *[F.regexp_replace(c, r"[^\x00-\x7f]", "-").alias(c) for c in ("expected_text", "ocr_text")])
+    d = metrics.with_distances(plain, "expected_text", "ocr_text")
+    rate = lambda f, empty: F.avg(F.when(F.col(f"n_{f}") == 0, empty).otherwise(F.col(f"d_{f}") / F.col(f"n_{f}")))
+    out = d.groupBy("profile").agg(
+        (F.sum("d_label") / F.sum(F.greatest("n_label", F.lit(1)))).alias("micro"), rate("label", (F.col("m_label") > 0).cast("double")).alias("macro"),
+        rate("bench", F.col("m_bench").cast("double")).alias("bench"), rate("receipt", F.lit(None)).alias("receipt"),
+        F.avg(F.col("d_raw") / F.greatest("n_raw", F.lit(1))).alias("raw"),
     )
     return _rounded(out, "micro", "macro", "bench", "receipt", "raw")
 
