@@ -128,6 +128,34 @@ m as (select ev.t e, tr.t t from ev join tr on abs(length(ev.t) - length(tr.t))
   and levenshtein(ev.t, tr.t) <= greatest(length(ev.t), length(tr.t)) // 10)
 select least(a.crop_id, b.crop_id) crop_a, greatest(a.crop_id, b.crop_id) crop_b
 from m join c a on a.t = m.t and a.s = 'train' join c b on b.t = m.e and b.s <> 'train'""",
+    "p3_classes": f"""
+with n as (
+  select crop_id, {_SPLIT.format('split')} s, regexp_replace(lower(labels), '[^a-z0-9]', '', 'g') t,
+    row_number() over (partition by crop_id order by loaded_at desc nulls last) r from crops where crop_id is not null),
+c as (select crop_id, s, t from n where r = 1 and s is not null and length(t) >= 24),
+x as (select t, min(crop_id) class_id, count(*) filter (s = 'train') tr, count(*) filter (s <> 'train') ev from c group by 1),
+m as (select a.t a, b.t b, a.tr, b.ev from x a join x b on a.tr > 0 and b.ev > 0 and abs(length(a.t) - length(b.t)) <= greatest(length(a.t), length(b.t)) // 10
+  and levenshtein(a.t, b.t) <= greatest(length(a.t), length(b.t)) // 10),
+up as (select a t, sum(ev) n from m group by 1), down as (select b t, sum(tr) n from m group by 1)
+select c.crop_id, c.s as split, x.class_id, coalesce(case when c.s = 'train' then up.n else down.n end, 0)::bigint n_links
+from c join x on x.t = c.t left join up on up.t = c.t left join down on down.t = c.t""",
+    "p3_links": f"""
+with n as (
+  select crop_id, {_SPLIT.format('split')} s, regexp_replace(lower(labels), '[^a-z0-9]', '', 'g') t,
+    row_number() over (partition by crop_id order by loaded_at desc nulls last) r from crops where crop_id is not null),
+c as (select crop_id, s, t from n where r = 1 and s is not null and length(t) >= 24),
+x as (select t, min(crop_id) class_id, count(*) filter (s = 'train') tr, count(*) filter (s <> 'train') ev from c group by 1)
+select a.class_id train_class, b.class_id held_class, levenshtein(a.t, b.t)::int edits from x a join x b on a.tr > 0 and b.ev > 0
+ and abs(length(a.t) - length(b.t)) <= greatest(length(a.t), length(b.t)) // 10 and levenshtein(a.t, b.t) <= greatest(length(a.t), length(b.t)) // 10""",
+    "p8_shared": """
+with w as (select doc_id, i, hash(substring(text, i, 200)) g, length(text) n from (select doc_id, text, unnest(range(1, length(text) - 198)) i from documents where length(text) >= 200)),
+h as (select g from w group by g having min(doc_id) <> max(doc_id)),
+p as (select doc_id, i - 1 s from w join h using (g)),
+m as (select *, sum(case when s <= b + 200 then 0 else 1 end) over (partition by doc_id order by s) k from (select *, lag(s) over (partition by doc_id order by s) b from p)),
+f as (select doc_id, min(s) a, max(s) + 200 e from m group by doc_id, k),
+g as (select doc_id, count(*) n, sum(e - a) c from f group by 1)
+select d.doc_id, coalesce(length(text), 0)::bigint n_chars, coalesce(n, 0)::bigint n_spans, coalesce(c, 0)::bigint shared_chars, coalesce(c / nullif(length(text), 0), 0)::double shared_part
+from documents d left join g on g.doc_id = d.doc_id""",
     "p6_checks": r"""
 select spec, (select count(*) from documents where regexp_matches(text, '\S')) n_texts, 0::bigint wrong_sizes, 0::bigint overfull, 0::bigint needless_cuts
 from pack_specs where capacity_tokens > 0""",

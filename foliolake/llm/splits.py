@@ -26,6 +26,8 @@ from foliolake.session import cut
 
 SPLITS = ("train", "val", "test")
 PREFIX_BUCKETS = 64
+#: Kinds that the placing of large groups tells apart.
+STEERING_KINDS = 1000
 
 
 def page_groups(links: DataFrame) -> DataFrame:
@@ -84,7 +86,10 @@ def assign_splits(crops: DataFrame, links: DataFrame, targets: DataFrame, big_sh
 
     totals = sizes.groupBy("group").agg(F.sum("n").alias("size"), F.max_by("kind", F.struct("n", "kind")).alias("main"))
     large = totals.where(F.col("size") >= max(1.0, big_share * total))
-    held = sizes.join(large.select("group", "size"), "group")
+    # The driver weighs the STEERING_KINDS commonest kinds and all others as one: at most STEERING_KINDS / big_share small rows.
+    common = sizes.groupBy("kind").agg(F.sum("n").alias("kn")).orderBy(F.desc("kn"), "kind").limit(STEERING_KINDS).select(F.col("kind").alias("k"))
+    weighed = sizes.join(F.broadcast(common), F.col("kind") == F.col("k"), "left").groupBy("group", F.coalesce("k", F.lit("*")).alias("kind")).agg(F.sum("n").alias("n"))
+    held = weighed.join(large.select("group", "size"), "group")
     spark = crops.sparkSession
     # At most 1 / big_share groups reach big_share of all records.
     by_group: dict[str, dict[str, int]] = {}
@@ -93,7 +98,7 @@ def assign_splits(crops: DataFrame, links: DataFrame, targets: DataFrame, big_sh
     kinds_of_large = {k for v in by_group.values() for k in v}
     kind_total = {
         r.kind: r.n
-        for r in sizes.join(held.select("kind").distinct(), "kind", "left_semi").groupBy("kind").agg(F.sum("n").alias("n")).collect()
+        for r in weighed.join(held.select("kind").distinct(), "kind", "left_semi").groupBy("kind").agg(F.sum("n").alias("n")).collect()
     } if kinds_of_large else {}
     used: dict[tuple[str, str], int] = {}
     chosen: list[tuple[str, str]] = []
@@ -112,7 +117,7 @@ def assign_splits(crops: DataFrame, links: DataFrame, targets: DataFrame, big_sh
             used[kind, best] = used.get((kind, best), 0) + n
 
     placed = spark.createDataFrame(chosen, "group string, split string")
-    taken = spark.createDataFrame([(k, s, n) for (k, s), n in used.items()], "kind string, split string, taken long")
+    taken = sizes.join(placed, "group").groupBy("kind", "split").agg(F.sum("n").alias("taken"))
     aims = F.explode(F.array(*[F.struct(F.lit(k).alias("split"), F.lit(v).alias("share")) for k, v in share.items()]))
     per_kind = sizes.groupBy("kind").agg(F.sum("n").alias("kn"))
     left = (
