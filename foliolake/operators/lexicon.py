@@ -162,3 +162,29 @@ def mined_classes(lines: DataFrame, text: str) -> DataFrame:
     found = [tagged(n, p) for n, patterns in FIELD_GRAMMAR.items() for p in patterns]
     rows = lines.where(F.col(text).isNotNull()).select(F.explode(F.concat(*found)).alias("e")).select("e.*")
     return rows.where("value <> ''").groupBy("class", "value").agg(F.count("*").alias("n"))
+
+
+def word_bigram_logp(asked: DataFrame, bigrams: DataFrame, eps: float = 0.5) -> DataFrame:
+    """(prev, next, logp) of each asked (prev, next): log of the pair's share of its first word, smoothed by ``eps``.
+
+    ``bigrams`` has (prev, next, n). A repeated word, and a first word never seen, say
+    nothing: 0. The vocabulary is that of all words in pairs.
+    """
+    totals = bigrams.groupBy("prev").agg(F.sum("n").alias("t"))
+    size = bigrams.select(F.explode(F.array("prev", "next")).alias("w")).agg(F.count_distinct("w").alias("v"))
+    met = asked.join(bigrams.groupBy("prev", "next").agg(F.sum("n").alias("n")), ["prev", "next"], "left").join(totals, "prev", "left").join(F.broadcast(size))
+    logp = F.log((F.coalesce("n", F.lit(0)) + eps) / (F.col("t") + eps * F.col("v")))
+    return met.select("prev", "next", F.when(F.col("prev").eqNullSafe(F.col("next")) | F.col("t").isNull(), 0.0).otherwise(logp).alias("logp"))
+
+
+def top_bigrams(bigrams: DataFrame, least: int = 3, cap: int = 12_000) -> DataFrame:
+    """The export form: pairs counted ``least`` times or more, the ``cap`` commonest (a top-k report)."""
+    return bigrams.where(F.col("n") >= least).orderBy(F.desc("n"), "prev", "next").limit(cap)
+
+
+def combined_logp(scored: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``scored`` with ``logp``: the weighted sum of its model columns; a model without opinion (null) adds 0."""
+    total = F.lit(0.0)
+    for name, w in weights.items():
+        total = total + F.coalesce(F.col(name), F.lit(0.0)) * w
+    return scored.withColumn("logp", total)

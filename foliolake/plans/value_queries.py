@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliolake.functions import decode, text, validate
-from foliolake.operators import fields, lexicon, policy, speech
+from foliolake.operators import evidence, fields, lexicon, policy, speech
 from foliolake.operators.current import newest
 from foliolake.session import parallelism
 from foliolake.tables import table
@@ -131,6 +131,61 @@ def char_lm_logp(spark, sf_dir):
     return out.select("ctx", "ch", F.round("logp", 9).alias("logp"))
 
 
+def _bigrams(spark, sf_dir):
+    return lexicon.bigram_counts(_tokens(spark, sf_dir))
+
+
+def word_bigram_logp(spark, sf_dir):
+    """Pairs of neighbouring words of the expected texts under the labels' model."""
+    e = table(spark, sf_dir, "pipeline_raw_engine").where("expected_text is not null").select(text.upper_tokens(F.col("expected_text")).alias("tokens"))
+    asked = lexicon.bigram_counts(e).select("prev", "next")
+    return lexicon.word_bigram_logp(asked, _bigrams(spark, sf_dir)).select("prev", "next", F.round("logp", 9).alias("logp"))
+
+
+def top_bigrams(spark, sf_dir):
+    return lexicon.top_bigrams(_bigrams(spark, sf_dir)).select("prev", "next", "n")
+
+
+def combined_lm(spark, sf_dir):
+    """Each pair under the word model and, for its second word, the share of the lexicon: summed with weights."""
+    pairs = word_bigram_logp(spark, sf_dir)
+    counts = _counts(spark, sf_dir)
+    known = counts.select(F.col("word").alias("next"), F.log(F.col("n").cast("double")).alias("word_logn"))
+    met = pairs.join(known, "next", "left")
+    out = lexicon.combined_logp(met.withColumnRenamed("logp", "pair_logp"), {"pair_logp": 1.0, "word_logn": 0.25})
+    return out.select("prev", "next", F.round("logp", 6).alias("logp"))
+
+
+def account_values(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return evidence.extract_accounts(d, "doc_id", "text").select("doc_id", "rank", "start", "digits", "masked", "is_card", "luhn", F.array_join("context", ",").alias("context"), "confidence", "valid")
+
+
+def best_account_lines(spark, sf_dir):
+    """The most confident account-like number on a line about accounts, per reading."""
+    lines = _lines(spark, sf_dir)
+    each = lines.select(F.concat_ws("|", "page_id", F.col("line_index").cast("string")).alias("k"), "text")
+    found = evidence.extract_accounts(each, "k", "text")
+    values = found.select(F.split("k", r"\|")[0].alias("page_id"), F.split("k", r"\|")[1].cast("int").alias("line_index"), F.col("digits").alias("value"), "confidence")
+    return evidence.best_on_lines(values, lines, "account", "card")
+
+
+def sectioned_fields(spark, sf_dir):
+    """Pattern fields of each reading in section order."""
+    f = pattern_fields(spark, sf_dir).select(F.col("record_id").cast("string").alias("page_id"), F.col("label").alias("field"), "value")
+    return evidence.in_section_order(f, {"money": ["Balance", "Amount"], "reference": ["Account Number", "Sort Code", "Case Number"], "time": ["Date", "Time"]})
+
+
+def refusal_reasons(spark, sf_dir):
+    v = _values(spark, sf_dir)
+    checks = [v.select(F.lit(k).alias("kind"), validate.validate(k, F.col("value")).alias("r")).select("kind", "r.ok", "r.reason") for k in ("sort_code", "identifier", "general")]
+    return evidence.reason_counts(checks[0].unionByName(checks[1]).unionByName(checks[2]), ["kind"])
+
+
+def content_digests(spark, sf_dir):
+    return evidence.content_digests(table(spark, sf_dir, "pipeline_raw_files"), "file_name", "line_no", "body")
+
+
 def trie_prefix_weights(spark, sf_dir):
     return lexicon.prefix_weights(_counts(spark, sf_dir))
 
@@ -237,7 +292,8 @@ QUERIES = {
         f.__name__: f
         for f in (
             canonical_values, labels_resolved, amounts, relative_days, pattern_fields, entity_counts, typed_values, spotted_labels,
-            proximity_values, policy_verdicts, policy_summary, word_counts, bigrams_top12, char_trigrams, char_lm_logp, trie_prefix_weights,
+            proximity_values, policy_verdicts, policy_summary, word_counts, bigrams_top12, char_trigrams, char_lm_logp, word_bigram_logp, top_bigrams, combined_lm, account_values, best_account_lines,
+            sectioned_fields, refusal_reasons, content_digests, trie_prefix_weights,
             lexicon_coverage, lexicon_union, lexicon_overlap, mined_lexicon, floored_lexicon, longest_name_match, grammar_classes, grammar_lexicon,
             charset_round_trip, ctc_greedy, ctc_beam, embedding_norms, mean_pooled, text_chunks, wrapped_pages,
         )
@@ -355,6 +411,13 @@ q as (select distinct substring(word, i, 2) ctx, substring(word, i + 2, 1) ch fr
 t3 as (select substring(gram, 1, 2) ctx, sum(n) t from c3 group by 1), t2 as (select substring(gram, 1, 1) c, sum(n) t from c2 group by 1), t1 as (select sum(n) t, count(*) v from c1)
 select q.ctx, q.ch, round(ln(case when c3.n is not null then c3.n / t3.t when c2.n is not null then 0.4 * c2.n / t2.t else 0.16 * (coalesce(c1.n, 0) + 1) / (t1.t + t1.v) end), 9) logp
 from q left join c3 on c3.gram = q.ctx || q.ch left join t3 on t3.ctx = q.ctx left join c2 on c2.gram = substring(q.ctx, 2, 1) || q.ch left join t2 on t2.c = substring(q.ctx, 2, 1) left join c1 on c1.gram = q.ch cross join t1""",
+    "word_bigram_logp": f"""with b as (select tokens[i] prev, tokens[i + 1] as nxt, count(*) n from (select tokens, unnest(range(1, len(tokens))) i from {_TOK}) group by 1, 2),
+t as (select prev, sum(n) t from b group by 1), v as (select count(distinct w) v from (select prev w from b union all select nxt from b)),
+q as (select distinct tokens[i] prev, tokens[i + 1] as nxt from (select tokens, unnest(range(1, len(tokens))) i from (select regexp_extract_all(upper(expected_text), '[0-9A-Z]+') tokens from pipeline_raw_engine where expected_text is not null)))
+select q.prev, q.nxt as "next", round(case when q.prev = q.nxt or t is null then 0 else ln((coalesce(n, 0) + 0.5) / (t + 0.5 * v)) end, 9) logp
+from q left join b on b.prev = q.prev and b.nxt = q.nxt left join t on t.prev = q.prev cross join v""",
+    "top_bigrams": f"select prev, \"next\", n from (select tokens[i] prev, tokens[i + 1] as \"next\", count(*) n from (select tokens, unnest(range(1, len(tokens))) i from {_TOK}) group by 1, 2) where n >= 3 order by n desc, prev, \"next\" limit 12000",
+    "refusal_reasons": None,
     "trie_prefix_weights": f"select prefix, sum(n)::bigint pass_weight, sum(case when prefix = word then n else 0 end)::bigint word_weight from (select word, n, substring(word, 1, i) prefix from (select word, n, unnest(range(1, length(word) + 1)) i from {_WC})) group by 1",
     "lexicon_coverage": f"select count(*) types, sum(n)::bigint tokens, round(avg(k), 9) type_coverage, round(sum(k * n) / sum(n), 9) token_coverage from (select n, (word in (select word from {_LEX}))::int k from {_WC})",
     "lexicon_union": f"""with a as {_WC}, b as (select word, count(*) n from {_LEX} group by 1), s as (select (select sum(n) from a) / (select sum(n) from b) k)
@@ -412,4 +475,5 @@ select value, d is not null as ok, case when d is not null then 'ok' else 'not a
  when 'last month' then (day - interval 1 month)::date when 'last year' then (day - interval 12 month)::date end)::varchar resolved
 from (select distinct run_at::date as day from pipeline_raw_engine where run_at is not null), (select unnest(['today','tomorrow','yesterday','in 3 days','in 2 weeks','in 1 month','5 days ago','2 weeks ago','next week','next month','last month','last year','some day']) phrase)""",
 }
+ORACLES["refusal_reasons"] = "select kind, reason, count(*) n from (" + " union all ".join(f"select '{k}' kind, * from ({ORACLES[f'validate_{k}']})" for k in ("sort_code", "identifier", "general")) + ") where not ok group by 1, 2"
 ORACLES = {k: v for k, v in ORACLES.items() if v}
