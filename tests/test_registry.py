@@ -1,4 +1,4 @@
-"""Every registered query runs on the smallest tables and names its columns as its SQL does."""
+"""Every registered query runs on the smallest tables and gives the rows that its SQL gives."""
 
 import glob
 import os
@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from compare import assert_same_rows
 
 
 def test_registry_is_consistent():
@@ -21,6 +22,7 @@ def test_entry(spark):
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
+    c.execute("set timezone = 'UTC'")
     for p in glob.glob(f"{sf_dir}/*.parquet"):
         c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
     return c
@@ -29,8 +31,7 @@ def duck(sf_dir):
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("p") or not n[1:2].isdigit()))
 def test_query(spark, sf_dir, duck, name):
     df = entry.queries()[name](spark, sf_dir)
-    n = df.count()
     if name in entry.oracle_sql():
-        r = duck.execute(entry.oracle_sql()[name])
-        assert sorted(d[0] for d in r.description) == sorted(df.columns)
-        assert len(r.fetchall()) == n
+        assert_same_rows(df, duck.execute(entry.oracle_sql()[name]))
+    else:
+        assert len(df.columns) > 0 and df.count() > 0
