@@ -273,8 +273,15 @@ TYPE_EVIDENCE = {
 TYPE_FLOOR = 5
 
 
+def _edges(pattern: str) -> str:
+    """ASCII boundaries; behind a letter that is none, both ways. Every pattern that begins with one begins with a word character."""
+    if pattern.isascii():
+        return ascii_edges(pattern)
+    return "(?<![0-9A-Za-z_])" + exact_edges(pattern[2:]) if pattern.startswith(r"\b") else exact_edges(pattern)
+
+
 def evidence_score(text: Column, kind: str) -> Column:
-    return sum((F.when(F.lower(text).rlike(ascii_edges(p) if p.isascii() else exact_edges(p)), w).otherwise(0) for p, w in TYPE_EVIDENCE[kind]), F.lit(0))
+    return sum((F.when(F.lower(text).rlike(_edges(p)), w).otherwise(0) for p, w in TYPE_EVIDENCE[kind]), F.lit(0))
 
 
 def weighted_type(text: Column) -> Column:
