@@ -171,7 +171,7 @@ def renames(files: DataFrame, steps: DataFrame) -> DataFrame:
     role = lambda name, run, file, fields: F.struct(F.lit(name).alias("role"), F.col(run).alias("run_no"), F.col(file).alias("file_name"), F.col(fields).alias("asked"))
     roles = F.explode(F.array(role("old", "prev_run", "prev_file", "gone"), role("new", "t_run", "t_file", "came")))
     asked = cut(both.select(*target, roles.alias("r")).select(*target, "r.*"))
-    live = explode_records(files.select(*FILE, "body").join(asked, FILE)).where(
+    live = explode_records(files.select(*FILE, "body").hint("merge").join(asked, FILE)).where(
         "array_contains(asked, field) and kind is not null and doc is not null and profile is not null"
     )
     here = [*target, "doc", "profile"]
@@ -211,7 +211,7 @@ def migrations(files: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """
     schemas = cut(file_schemas(files)) if schemas is None else schemas
     steps = cut(plain_steps(file_pairs(schemas)))
-    with_moves = steps.join(renames(files, steps), FILE, "left")
+    with_moves = steps.hint("merge").join(renames(files, steps), FILE, "left")
     moved = F.coalesce("moved", F.array().cast("array<struct<old_field:string,new_field:string>>"))
     left = lambda col, side: F.array_except(col, F.transform(moved, lambda m: m[side]))
     step = lambda kind, old, new: F.struct(F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
@@ -350,7 +350,7 @@ def consistent_records(files: DataFrame, typed: dict[str, DataFrame]) -> DataFra
     last = F.max(F.struct("received_at", "body", "written_at")).alias("d")
     once = lines.groupBy(*FILE, "line_no").agg(last).select(*FILE, "line_no", "d.*")
     parsed = once.select(*FILE, "line_no", "written_at", "received_at", F.from_json("body", "map<string,variant>").alias("m")).where("m is not null")
-    wide = parsed.withColumn("m", F.transform_values("m", lambda k, v: F.to_json(v))).join(per_file, FILE)
+    wide = parsed.withColumn("m", F.transform_values("m", lambda k, v: F.to_json(v))).hint("merge").join(per_file, FILE)
     source = lambda n: F.try_element_at(F.col("named"), F.lit(n))
     raws = {n: F.try_element_at(F.col("m"), source(n)) for n in TARGET}
     reads = {n: cast_rule(rule, raws[n]) for n, rule in TARGET.items()}
